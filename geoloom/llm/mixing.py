@@ -61,16 +61,34 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: in
     return j.withColumn("taken", F.col("size") * F.col("copies")).drop("_pos", "_before", "_epochs")
 
 
+def document_digest():
+    """A number in (0, 1) that depends on the id and the text."""
+    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5e0) / F.lit(float(2**52))
+
+
 def document_sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words; null text 0), u in (0, 1) from a digest of id and text, and the quality weight.
 
     The weight falls from HIGH to LOW with the number of runs of symbols or digits for each word.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
-    d = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.conv(F.substring(digest, 1, 13), 16, 10).cast("double").alias("_h"), F.regexp_count(text, F.lit(NOISE)).alias("_noise"))
+    d = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), document_digest().alias("u"), F.regexp_count(text, F.lit(NOISE)).alias("_noise"))
     share = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_noise") / F.col("size"))).otherwise(F.lit(0.0))
-    return d.select("doc_id", "source", "size", ((F.col("_h") + 0.5e0) / F.lit(float(2**52))).alias("u"), (F.lit(LOW) + F.lit(HIGH - LOW) * share).alias("weight"))
+    return d.select("doc_id", "source", "size", "u", (F.lit(LOW) + F.lit(HIGH - LOW) * share).alias("weight"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as mix() decides, rows taken not at all left out.
+
+    Decisions are joined by id and digest, so that texts that share an id keep their own. Rows that repeat whole share
+    the least of their decisions.
+    """
+    decided = mix(materialize(document_sizes(docs), "mixing-sizes"), weights, max_epochs)
+    decided = decided.groupBy(F.col("doc_id").alias("_id"), F.col("u").alias("_digest")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.withColumn("_u", document_digest())
+    rows = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_digest")))
+    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

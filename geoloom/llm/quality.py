@@ -125,6 +125,19 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(m / (1 - m)) + self.bias, -30, 30)))
 
 
+    def score_all(self, texts: list[str]) -> np.ndarray:
+        """Scores of any number of texts, about BLOCK characters at once, rounded to 6 places."""
+        scores, begin = [np.zeros(0)], 0
+        while begin < len(texts):
+            end, n = begin, 0
+            while end < len(texts) and (end == begin or n + len(texts[end]) <= BLOCK):
+                n += len(texts[end])
+                end += 1
+            scores.append(self.scores(texts[begin:end]))
+            begin = end
+        return np.round(np.concatenate(scores), 6)
+
+
 def train(texts: list[str], labels: list[int], rounds: int = 60) -> Model:
     """Fit by the likelihood of every line having its document's label, documents weighing alike; then calibrate.
 
@@ -162,15 +175,7 @@ def score_batches(model: Model, at: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
-            scores, begin = [], 0
-            while begin < len(texts):
-                end, n = begin, 0
-                while end < len(texts) and (end == begin or n + len(texts[end]) <= BLOCK):
-                    n += len(texts[end])
-                    end += 1
-                scores.append(model.scores(texts[begin:end]))
-                begin = end
-            s = np.round(np.concatenate(scores), 6) if scores else np.zeros(0)
+            s = model.score_all(texts)
             keep = [b.column(c) for c in b.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*keep, pa.array(s, pa.float64()), pa.array((s >= at).astype(np.int32), pa.int32())], [*[c for c in b.schema.names if c != "text"], "score", "predicted"])
 
@@ -199,6 +204,16 @@ def classify(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFrame
     return d.mapInArrow(score_batches(model, at), "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text scores ``at`` or more. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.score_all([t or "" for t in b.column("text").to_pylist()]) >= at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return train(*training_sample(docs, labels, ~held(F.col("doc_id"))))
 
