@@ -86,9 +86,9 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     """
     decided = mix(materialize(document_sizes(docs), "mixing-sizes"), weights, max_epochs)
     decided = decided.groupBy(F.col("doc_id").alias("_id"), F.col("u").alias("_digest")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.withColumn("_u", document_digest())
+    rows = docs.select("doc_id", document_digest().alias("_u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     rows = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_digest")))
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(docs.columns)
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
