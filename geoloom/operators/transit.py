@@ -23,8 +23,8 @@ def within_pairs(left: DataFrame, right: DataFrame, radius: float, cell: int = 2
     if radius > cell:
         raise ValueError("a cell must be as wide as the radius")
     key = lambda c: F.floor(F.col(c) / float(cell))
-    around = F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)]))
-    a = left.withColumn("_cx", key("gx") + around).withColumn("_cy", key("gy") + F.explode(F.array(*[F.lit(i) for i in (-1, 0, 1)])))
+    around = lambda c: F.explode(F.sequence(key(c) - 1, key(c) + 1))
+    a = left.withColumn("_cx", around("gx")).withColumn("_cy", around("gy"))
     b = right.select(F.col("id").alias("other"), F.col("gx").alias("ox"), F.col("gy").alias("oy")).withColumn("_cx", key("ox")).withColumn("_cy", key("oy"))
     d = F.hypot((F.col("gx") - F.col("ox")).cast("double"), (F.col("gy") - F.col("oy")).cast("double"))
     return a.join(b, ["_cx", "_cy"]).withColumn("dist", d).where(F.col("dist") <= radius).drop("_cx", "_cy")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from geoloom.plans import core
+
 FLAGSHIP = "q_transit_slice"
-QUERIES: dict = {}
-SQL: dict = {}
+QUERIES = dict(core.QUERIES)
+SQL = dict(core.SQL)
