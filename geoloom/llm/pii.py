@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents
+from geoloom.llm.common import documents, materialize
 from geoloom.llm.spans import bound, digits, matches, pick, total, trees
 
 #: The fixed formats, written so that no start is tried twice and no repeat is kept for backtracking.
@@ -107,7 +107,7 @@ def _training(d: DataFrame) -> DataFrame:
         rows = d.where(F.col("kind") == k).select("id", "label", F.explode(matches(F.col("text"), pattern)).alias("c"))
         rows = rows.select("id", "label", *[x.alias(n) for n, x in zip(FEATURES, candidate_features(F.col("c"), k, cue), strict=True)])
         out = rows if out is None else out.unionByName(rows)
-    return out.coalesce(1).sortWithinPartitions("id", "kind")
+    return out.coalesce(1)
 
 
 _SELECTORS: dict[tuple, Selector] = {}
@@ -122,7 +122,7 @@ def fit(spark: SparkSession, each: int = LABELLED, precision: float = PRECISION)
     key = (spark.sparkContext.applicationId, each, precision)
     if key in _SELECTORS:
         return _SELECTORS[key]
-    d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(_training(labelled(spark, each)))
+    d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(_training(labelled(spark, each)), "pii-findings").coalesce(1).sortWithinPartitions("id", "kind"))
     out = F.pmod(F.xxhash64("id"), F.lit(4)) == 0
     model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=12, maxDepth=3, stepSize=0.3, seed=7).fit(d.where(~out))
     selector = Selector(model.toDebugString, list(model.treeWeights), {})

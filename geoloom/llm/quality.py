@@ -211,7 +211,9 @@ def keep_good(docs: DataFrame, model: Model, at: float = PREDICT_AT) -> DataFram
         for b in batches:
             yield b.filter(pa.array(model.score_all([t or "" for t in b.column("text").to_pylist()]) >= at))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = ["text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]  # any name may be in use, dots too
+    plain = docs.toDF(*names)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:

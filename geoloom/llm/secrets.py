@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents
+from geoloom.llm.common import documents, materialize
 from geoloom.llm.spans import bound, digits, matches, pick, total, trees
 
 #: Runs of 16 or more token characters of which one, at least, is a digit or a capital after the first.
@@ -90,7 +90,7 @@ def fit(spark: SparkSession, rows: int = LABELLED) -> Forest:
     if key not in _FORESTS:
         d = labelled(spark, rows).select("id", "label", "path", F.explode(matches(F.col("text"), CANDIDATE)).alias("c"))
         d = d.select("id", "label", *[x.alias(n) for n, x in zip(FEATURES, candidate_features(F.col("c"), F.col("path")), strict=True)])
-        d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(d.coalesce(1).sortWithinPartitions("id"))
+        d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(d.coalesce(1), "secret-findings").coalesce(1).sortWithinPartitions("id"))
         model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, maxDepth=6, seed=7, featureSubsetStrategy="sqrt").fit(d)
         _FORESTS[key] = Forest(model.toDebugString)
     return _FORESTS[key]
