@@ -125,16 +125,20 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * np.log(m / (1 - m)) + self.bias, -30, 30)))
 
 
-    def score_all(self, texts: list[str]) -> np.ndarray:
-        """Scores of any number of texts, about BLOCK characters at once, rounded to 6 places."""
-        scores, begin = [np.zeros(0)], 0
+    def runs(self, texts: list[str], size: int = BLOCK // 4) -> Iterator[list[str]]:
+        """``texts`` in runs of at most ``size`` characters, or of one text."""
+        begin = 0
         while begin < len(texts):
             end, n = begin, 0
-            while end < len(texts) and (end == begin or n + len(texts[end]) <= BLOCK):
+            while end < len(texts) and (end == begin or n + len(texts[end]) <= size):
                 n += len(texts[end])
                 end += 1
-            scores.append(self.scores(texts[begin:end]))
+            yield texts[begin:end]
             begin = end
+
+    def score_all(self, texts: list[str]) -> np.ndarray:
+        """Scores of any number of texts, about BLOCK characters at once, rounded to 6 places."""
+        scores = [np.zeros(0), *map(self.scores, self.runs(texts, BLOCK))]
         return np.round(np.concatenate(scores), 6)
 
 
@@ -148,7 +152,9 @@ def train(texts: list[str], labels: list[int], rounds: int = 60) -> Model:
     if len(set(labels)) < 2:
         return model
     y = np.array(labels)
-    per_text, _, f = line_features(texts)
+    # features of a run at a time, as the characters of all texts at once would take too much of the driver's memory
+    found = [(x[0], x[2]) for x in map(line_features, model.runs(texts))]
+    per_text, f = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
     starts, lengths = chains(per_text)
     line_y = np.repeat(y, per_text)
     weight = np.repeat(1 / per_text, per_text)[:, None]
@@ -161,7 +167,7 @@ def train(texts: list[str], labels: list[int], rounds: int = 60) -> Model:
         gamma, expected = model.marginals(f, starts, lengths, counts=True)
         g = (line_y - gamma[:, 1])[:, None] * weight
         opt.step([((f * g).sum(axis=0) / len(texts) - 1e-4 * model.weights).astype(np.float32), ((pairs - expected) / max(1, len(j)) - 1e-2 * model.trans).astype(np.float32)])
-    m = np.clip(model.means(texts), 1e-6, 1 - 1e-6)
+    m = np.clip(np.concatenate([model.means(r) for r in model.runs(texts)]), 1e-6, 1 - 1e-6)
     x = np.stack([np.log(m / (1 - m)), np.ones(len(m))], axis=1)
     a = np.array([1.0, 0.0])
     for _ in range(25):
