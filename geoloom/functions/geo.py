@@ -84,7 +84,7 @@ def hilbert_id(zoom: int, x: Column, y: Column) -> Column:
         nx, ny = F.when(flip, s - 1 - a["x"]).otherwise(a["x"]), F.when(flip, s - 1 - a["y"]).otherwise(a["y"])
         return F.struct(F.when(ry == 0, ny).otherwise(nx).alias("x"), F.when(ry == 0, nx).otherwise(ny).alias("y"), (a["d"] + s * s * (rx * 3).bitwiseXOR(ry)).alias("d"))
 
-    sides = F.array(*[F.lit(1 << k).cast("long") for k in range(zoom - 1, -1, -1)])
+    sides = F.array(*[F.lit(1 << k).cast("long") for k in range(zoom - 1, -1, -1)]).cast("array<bigint>")
     return F.aggregate(sides, start, step, lambda a: a["d"])
 
 
