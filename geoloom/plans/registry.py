@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.plans import core
+from geoloom.plans import core, more
+
+MODULES = (core, more)  # each adds its queries to the tables in core
 
 FLAGSHIP = "q_transit_slice"
 QUERIES = dict(core.QUERIES)
