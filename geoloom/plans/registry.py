@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.plans import core, more
+from geoloom.plans import core, more, wire
 
-MODULES = (core, more)  # each adds its queries to the tables in core
+MODULES = (core, more, wire)  # each adds its queries to the tables in core
 
 FLAGSHIP = "q_transit_slice"
 QUERIES = dict(core.QUERIES)
