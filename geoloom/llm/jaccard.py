@@ -2,8 +2,10 @@
 
 Documents with equal sets collapse to one class. Classes meet where a whole part of their sets is equal: for two sets
 that link, at most d items differ, so of more than d parts one at least is untouched. Connected by such meetings, they
-form candidate groups, and in each group signature trees find the links: nodes hold OR-combined bitmaps and size
-ranges, and a dual traversal leaves out node pairs whose largest possible overlap is too small.
+form candidate groups. Passages that many documents share can join most classes into one group; a large group is
+therefore regrouped first by the pairs that parity sketches leave possible. In each group signature trees find the links:
+nodes hold OR-combined bitmaps and size ranges, and a dual traversal leaves out node pairs whose largest possible overlap
+is too small.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from geoloom.llm.common import documents, materialize
 RUN, BLOCK, LEAF, FANOUT = 1 << 21, 1024, 8, 8
 #: 64-bit words of a bitmap.
 BITS = 16
+#: Classes in a block of sketches; rows and columns of sketches compared at once.
+SKETCH_BLOCK, TILE = 16384, (64, 1024)
 #: Parts beyond those that linked sets may differ in, so that empty parts seldom need a meeting place.
 SLACK = 2
 _U = np.uint64
@@ -151,6 +155,97 @@ def _set_ids(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return sizes, _mix(sums + sizes.astype(_U)).view(np.int64)
 
 
+def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
+    """Each set's parity sketch: bit i tells whether an odd number of its items hash to i.
+
+    It has 64 bits at least, and the least power of two that is not below the set's size. The bits in which two sketches
+    differ are never more than the items in which the sets differ. XOR of its halves makes a sketch of half the length.
+    """
+    sizes = np.bincount(doc, minlength=n)
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+    ends = np.cumsum(bits)
+    at = (ends - bits)[doc] + (_mix(h ^ _U(0x2127599BF4325C37)) & (bits[doc] - 1).astype(_U)).astype(np.int64)
+    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
+    packed = np.packbits(odd, bitorder="little").tobytes()
+    return [packed[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
+
+
+def _folded(sketch: np.ndarray, width: int) -> np.ndarray:
+    """Sketches (rows of 64-bit words) at ``width`` words."""
+    while sketch.shape[1] > width:
+        half = sketch.shape[1] // 2
+        sketch = sketch[:, :half] ^ sketch[:, half:]
+    return sketch
+
+
+def possible_links(blocks: list[list[tuple[int, int, bytes]]], num: int, den: int) -> list[tuple[int, int]]:
+    """A forest over all pairs that size and sketch leave possible: within one block, or between two.
+
+    A block lists (set_id, size, sketch). Sketches of one length form a stripe, sorted by size; stripes are compared in
+    tiles, at the shorter length, and pairs already connected are left out.
+    """
+    names = np.array([r[0] for b in blocks for r in b], np.int64)
+    root = np.arange(len(names))
+    stripes, base = [], 0
+    for side, b in enumerate(blocks):
+        by_length: dict[int, list[int]] = {}
+        for i, r in enumerate(b):
+            by_length.setdefault(len(r[2]) // 8, []).append(i)
+        for width, own in by_length.items():
+            own.sort(key=lambda i: b[i][1])  # noqa: B023
+            maps = np.frombuffer(b"".join([b[i][2] for i in own]), _U).reshape(len(own), width)
+            stripes.append((side, width, np.array(own) + base, np.array([b[i][1] for i in own]), maps))
+        base += len(b)
+    found = []
+    for x, (side, w1, at1, size1, maps1) in enumerate(stripes):
+        for y, (other, w2, at2, size2, maps2) in enumerate(stripes):
+            if (len(blocks) > 1 and side >= other) or y < x or max(w1, w2) > 2 * min(w1, w2):
+                continue
+            left, right = _folded(maps1, min(w1, w2)), _folded(maps2, min(w1, w2))
+            for i in range(0, len(at1), TILE[0]):
+                rows = slice(i, i + TILE[0])
+                low = int(np.searchsorted(den * size2, num * size1[rows][0], side="left"))
+                high = int(np.searchsorted(num * size2, den * size1[rows][-1], side="right"))
+                if x == y:
+                    low = max(low, i)
+                for j in range(low, high, TILE[1]):
+                    cols = slice(j, min(j + TILE[1], high))
+                    apart = np.bitwise_count(left[rows, None] ^ right[None, cols]).sum(axis=2, dtype=np.int32)
+                    total = size1[rows][:, None] + size2[cols][None]
+                    # linked sets of this total size differ in at most (den - num) / (den + num) of it
+                    maybe = ((den + num) * apart <= (den - num) * total) & (root[at1[rows]][:, None] != root[at2[cols]][None])
+                    for p, q in zip(*(k.tolist() for k in np.nonzero(maybe)), strict=True):
+                        a, b = root[at1[i + p]], root[at2[j + q]]
+                        if a != b:
+                            root[root == b] = a
+                            found.append((int(names[at1[i + p]]), int(names[at2[j + q]])))
+    return found
+
+
+def possible(num: int, den: int):
+    """possible_links() of each task's blocks. Batches are a partition's rows, sorted by task and block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, block, blocks = None, None, []
+
+        def out() -> pa.RecordBatch:
+            found = possible_links(blocks, num, den) if blocks else []
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            for t, k, *row in zip(*(b.column(c).to_pylist() for c in ("task", "block", "set_id", "n_shingles", "sketch")), strict=True):
+                if t != task:
+                    yield out()
+                    task, block, blocks = t, None, []
+                if k != block:
+                    block = k
+                    blocks.append([])
+                blocks[-1].append(tuple(row))
+        yield out()
+
+    return run
+
+
 def describe(n: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -162,7 +257,7 @@ def describe(n: int, num: int, den: int):
                 order = np.argsort(who, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=end - begin))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(begin, end - begin), pa.array(sizes.astype(np.int64)), pa.array(ids), listed], ["doc_id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(begin, end - begin), pa.array(sizes.astype(np.int64)), pa.array(ids), listed, pa.array(sketches(doc, h, end - begin), pa.binary())], ["doc_id", "n_shingles", "set_id", "keys", "sketch"])
 
     return run
 
@@ -326,6 +421,25 @@ def link_group(n: int, num: int, den: int):
     return run
 
 
+def _tasks(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
+    """``members`` (set_id, root, n_shingles and more) once for each task they take part in, with ``task`` and ``block``.
+
+    A group of up to ``block`` sets is one task of one block. A larger one is cut by size, in bands as wide as a link
+    allows, and within a band by hash; each block, and each two blocks whose bands are near enough, are a task.
+    """
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num) + 1e-9))
+    members = members.withColumn("band", band)
+    cells = members.groupBy("root", "band").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("c"))
+    small = cells.groupBy("root").agg((F.sum("c") <= block).alias("whole"))
+    near = cells.join(small, "root").alias("x").join(cells.select("root", F.col("band").alias("other"), F.col("parts").alias("other_parts")).alias("y"), "root").where("NOT whole AND abs(band - other) <= 1")
+    near = near.groupBy("root", "band").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("other", "other_parts")).alias("others"))
+    plan = members.join(near, ["root", "band"], "left")
+    mine = F.pmod(F.xxhash64("set_id"), F.col("parts"))
+    where = lambda b1, p1, b2, p2: F.when((b1 < b2) | ((b1 == b2) & (p1 <= p2)), F.concat_ws(":", F.col("root"), b1, p1, b2, p2)).otherwise(F.concat_ws(":", F.col("root"), b2, p2, b1, p1))
+    tasks = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["other_parts"] - 1), lambda p: where(F.col("band"), mine, o["other"], p))))
+    return plan.withColumn("block", F.coalesce(F.concat_ws(":", "band", mine), F.lit(""))).withColumn("task", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string")))))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id, the least doc_id reachable by links; ``den * shared >= num * union`` links.
 
@@ -334,31 +448,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     component is their own doc_id. Equal texts share a component; rows that repeat repeat; a null doc_id takes part,
     but gives no component its id unless all of it are null. Columns other than doc_id and text are left aside.
 
-    Only ids, keys and texts of candidate classes are shuffled. A candidate group of more than BLOCK classes is cut by
-    size and hash into blocks, and pairs of blocks whose sizes are near enough become tasks.
+    Only ids, keys, sketches and texts of candidate classes are shuffled. A candidate group of more than BLOCK classes is
+    regrouped by sketches; what is still larger is cut by size and hash into blocks, and pairs of blocks whose sizes are
+    near enough become tasks.
     """
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    described = materialize(raw.mapInArrow(describe(n, num, den), "doc_id long, n_shingles long, set_id long, keys array<long>"), "sets")
+    described = materialize(raw.mapInArrow(describe(n, num, den), "doc_id long, n_shingles long, set_id long, keys array<long>, sketch binary"), "sets")
     full = described.where("n_shingles > 0")
-    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles")), "classes")
+    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
     one = full.select("doc_id", "set_id", "keys").join(classes.select("set_id", "rep"), "set_id").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     keyed = one.select("set_id", F.explode("keys").alias("key"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = keyed.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(meet, "a long, b long")
     group = materialize(components(materialize(met.distinct(), "meetings")), "groups")
 
-    # blocks of large groups: by size, in bands as wide as a link allows, and within a band by hash
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num) + 1e-9))
-    members = group.join(classes, group["node"] == classes["set_id"]).select("set_id", "root", "rep", band.alias("band"))
-    cells = members.groupBy("root", "band").agg(F.ceil(F.count("*") / BLOCK).alias("parts"), F.count("*").alias("c"))
-    small = cells.groupBy("root").agg((F.sum("c") <= BLOCK).alias("whole"))
-    near = cells.join(small, "root").alias("x").join(cells.select("root", F.col("band").alias("other"), F.col("parts").alias("other_parts")).alias("y"), "root").where("NOT whole AND abs(band - other) <= 1")
-    near = near.groupBy("root", "band").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("other", "other_parts")).alias("others"))
-    plan = members.join(near, ["root", "band"], "left")
-    mine = F.pmod(F.xxhash64("set_id"), F.col("parts"))
-    where = lambda b1, p1, b2, p2: F.when((b1 < b2) | ((b1 == b2) & (p1 <= p2)), F.concat_ws(":", F.col("root"), b1, p1, b2, p2)).otherwise(F.concat_ws(":", F.col("root"), b2, p2, b1, p1))
-    tasks = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["other_parts"] - 1), lambda p: where(F.col("band"), mine, o["other"], p))))
-    plan = plan.select("rep", "set_id", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string")))).alias("task"))
+    sized = group.join(classes, group["node"] == classes["set_id"]).select("set_id", "root", "rep", "n_shingles", "sketch")
+    large = sized.groupBy("root").count().where(F.col("count") > BLOCK).select("root")
+    regrouped = _tasks(sized.join(large, "root", "left_semi"), SKETCH_BLOCK, num, den).select("task", "block", "set_id", "n_shingles", "sketch")
+    regrouped = regrouped.repartition(4 * parts, "task").sortWithinPartitions("task", "block").mapInArrow(possible(num, den), "a long, b long")
+    again = components(materialize(regrouped, "possible")).join(classes, F.col("node") == F.col("set_id")).select("set_id", "root", "rep", "n_shingles")
+    members = materialize(sized.join(large, "root", "left_anti").select("set_id", "root", "rep", "n_shingles").unionByName(again), "members")
+    plan = _tasks(members, BLOCK, num, den).select("rep", "set_id", "task")
     # a class with a null id has no row to join its text by: found by null-safe equality
     texts = raw.join(plan, raw["doc_id"].eqNullSafe(plan["rep"])).select("task", "set_id", "raw")
     links = texts.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(link_group(n, num, den), "a long, b long")

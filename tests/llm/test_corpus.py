@@ -1,12 +1,14 @@
 """Corpus operators against brute force, round trips and odd input."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -346,3 +348,30 @@ def test_media_resynchronises_and_verifies():
 def test_running_sums_pass_their_blocks(spark):
     got = spark.range(1).select(running_sums(F.sequence(F.lit(1), F.lit(1000))).alias("s")).first().s
     assert got == [i * (i + 1) // 2 for i in range(1, 1001)]
+
+
+def test_sketches_keep_every_link():
+    rng = np.random.default_rng(1)
+    sets = []
+    for _ in range(120):
+        base = np.unique(rng.integers(0, 2**63, size=rng.integers(1, 300)).astype(np.uint64))
+        sets.append(base)
+        for loss in (0.05, 0.2, 0.3):
+            sets.append(np.unique(np.concatenate([base[:1], base[rng.random(len(base)) > loss * rng.random()], rng.integers(0, 2**63, size=int(len(base) * loss / 3)).astype(np.uint64)])))
+    made = jaccard.sketches(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), len(sets))
+    rows = [(i, len(s), m) for i, (s, m) in enumerate(zip(sets, made, strict=True))]
+    for cut in (0, 250):
+        blocks = [b for b in (rows[:cut], rows[cut:]) if b]
+        root = np.arange(len(sets))
+        for a, b in jaccard.possible_links(blocks, 80, 100):
+            root[root == root[b]] = root[a]
+        assert len(np.unique(root)) > 60  # different bases stay apart
+        linked = 0
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if cut and not i < cut <= j:
+                continue
+            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
+                linked += 1
+                assert root[i] == root[j]
+        assert linked
