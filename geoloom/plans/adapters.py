@@ -53,7 +53,7 @@ def updates(spark, sf):
 
 def raster(spark, sf):
     p = _read(spark, sf, "part")
-    return p.where("p_partkey BETWEEN 0 AND 1999").groupBy(F.pmod(F.col("p_partkey"), F.lit(40)).alias("x"), F.expr("p_partkey div 40").alias("y")).agg(F.max("p_retailprice").alias("v"))
+    return p.groupBy(F.pmod(F.col("p_partkey"), F.lit(40)).alias("x"), F.expr("p_partkey div 40").alias("y")).agg(F.max("p_retailprice").alias("v"))
 
 
 def calendar(spark):
@@ -69,6 +69,6 @@ pois AS (SELECT *, -122.42e0 + gx * 1e-2 / 4096e0 AS lon, 37.78e0 - gy * 1e-2 /
 routes AS (SELECT CAST(n_nationkey AS BIGINT) AS route_id, CASE n_regionkey WHEN 0 THEN 'tram' WHEN 1 THEN 'subway' WHEN 2 THEN 'rail' WHEN 3 THEN 'bus' ELSE 'ferry' END || ' ' || n_name AS label FROM nation),
 trips AS (SELECT o_orderkey AS trip_id, CAST(c_nationkey AS BIGINT) AS route_id, o_orderpriority AS service_id FROM orders JOIN customer ON o_custkey = c_custkey),
 stop_times AS (SELECT l_orderkey AS trip_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS seq, l_suppkey AS stop_id, CASE WHEN l_returnflag = 'N' AND l_linenumber = 3 THEN NULL ELSE (l_partkey * 7 + l_linenumber * 11) % 1740 END AS dep FROM lineitem),
-raster AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, max(p_retailprice) AS v FROM part WHERE p_partkey BETWEEN 0 AND 1999 GROUP BY 1, 2),
+raster AS (SELECT p_partkey % 40 AS x, p_partkey // 40 AS y, max(p_retailprice) AS v FROM part GROUP BY 1, 2),
 updates AS (SELECT event_id, ts, user_id AS entity_id, user_id AS trip_id, event_type = 'click' AS is_deleted, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN 2 ELSE 0 END AS relationship, CAST(floor(value) AS BIGINT) - 60 AS delay FROM events)
 """

@@ -14,7 +14,7 @@ SQL: dict[str, str] = {}
 LAT, LON = 37.775, -122.415
 HAV = "2e0*6371008.8e0*asin(least(1e0,sqrt(pow(sin(radians({b}-{a})/2e0),2)+cos(radians({a}))*cos(radians({b}))*pow(sin(radians({d}-({c}))/2e0),2))))"
 WORDS = "['north','northeast','east','southeast','south','southwest','west','northwest']"
-EVENT_EDGES = "edges AS (SELECT DISTINCT s1 AS from_id, s2 AS to_id FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS s1, stop_id AS s2 FROM stop_times WHERE trip_id % 40 = 0) WHERE s1 IS NOT NULL AND s1 <> s2)"
+EVENT_EDGES = "edges AS (SELECT DISTINCT s1 AS from_id, s2 AS to_id FROM (SELECT lag(stop_id) OVER (PARTITION BY trip_id ORDER BY seq) AS s1, stop_id AS s2 FROM stop_times) WHERE s1 IS NOT NULL AND s1 <> s2)"
 
 
 def query(name: str, sql: str | None = None, *, prelude: bool = True):
@@ -49,10 +49,10 @@ def _merc(lat):
     return f"ln(tan(pi()/4e0+radians({lat})/2e0))"
 
 
-@query("q_grid_quantise", f"SELECT id, CAST(floor((lon+122.42e0)/1e-2*4096e0+5e-1) AS BIGINT) AS col, CAST(floor(({_merc('37.78e0')}-{_merc('lat')})/({_merc('37.78e0')}-{_merc('37.77e0')})*4096e0+5e-1) AS BIGINT) AS row FROM pois WHERE gx % 2 = 1 AND gy > 0")
+@query("q_grid_quantise", f"SELECT id, CAST(floor((lon+122.42e0)/1e-2*4096e0+5e-1) AS BIGINT) AS col, CAST(floor(({_merc('37.78e0')}-{_merc('lat')})/({_merc('37.78e0')}-{_merc('37.77e0')})*4096e0+5e-1) AS BIGINT) AS row FROM pois")
 def grid(spark, sf):
     col, row = geo.to_grid(F.col("lon"), F.col("lat"), ad.WEST, ad.SOUTH, ad.EAST, ad.NORTH)
-    return ad.pois(spark, sf).where("gx % 2 = 1 AND gy > 0").select("id", col.cast("long").alias("col"), row.cast("long").alias("row"))
+    return ad.pois(spark, sf).select("id", col.cast("long").alias("col"), row.cast("long").alias("row"))
 
 
 TILE = "CAST(floor((lon+180e0)/360e0*65536e0) AS BIGINT) AS x, CAST(floor((1e0-ln(tan(radians(lat))+1e0/cos(radians(lat)))/pi())/2e0*65536e0) AS BIGINT) AS y"
@@ -189,7 +189,7 @@ def rt_overlay(spark, sf):
 
 def stop_edges(spark, sf) -> DataFrame:
     prev = F.lag("stop_id").over(Window.partitionBy("trip_id").orderBy("seq"))
-    return ad.stop_times(spark, sf).where("trip_id % 40 = 0").select(prev.alias("from_id"), F.col("stop_id").alias("to_id")).where("from_id IS NOT NULL AND from_id <> to_id").distinct()
+    return ad.stop_times(spark, sf).select(prev.alias("from_id"), F.col("stop_id").alias("to_id")).where("from_id IS NOT NULL AND from_id <> to_id").distinct()
 
 
 @query("q_degree", f"WITH {EVENT_EDGES} SELECT id, count(*) AS degree, count(DISTINCT n) AS neighbours FROM (SELECT from_id AS id, to_id AS n FROM edges UNION ALL SELECT to_id, from_id FROM edges) GROUP BY 1")
@@ -197,10 +197,10 @@ def degree(spark, sf):
     return graph.degrees(stop_edges(spark, sf))
 
 
-@query("q_components", "WITH RECURSIVE e AS (SELECT l_orderkey AS a, l_partkey + 100000000 AS b FROM lineitem WHERE l_partkey % 50 = 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(id, l) AS (SELECT a, a FROM b UNION SELECT b.b, r.l FROM r JOIN b ON b.a = r.id) SELECT id, CAST(min(l) AS BIGINT) AS component FROM r GROUP BY 1", prelude=False)
+@query("q_components")
 def components(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_partkey % 50 = 0")
-    return graph.components(li.select(F.col("l_orderkey").alias("from_id"), (F.col("l_partkey") + 100000000).alias("to_id")).distinct())
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return graph.components(li.select(F.col("l_orderkey").alias("from_id"), (-F.col("l_partkey") - 1).alias("to_id")).distinct())
 
 
 @query("q_bidirectional", f"WITH {EVENT_EDGES}, m AS (SELECT e.from_id, e.to_id, b.gx-a.gx AS dx, b.gy-a.gy AS dy FROM edges e JOIN stops a ON a.id=from_id JOIN stops b ON b.id=to_id), t AS (SELECT * FROM m UNION ALL SELECT to_id, from_id, -dx, -dy FROM m) SELECT from_id, to_id, dx, dy, {WORDS}[CAST(floor((atan2(CAST(dx AS DOUBLE),CAST(-dy AS DOUBLE))*180e0/pi()+360e0)/45e0+5e-1) AS BIGINT)%8+1] AS dir FROM t")

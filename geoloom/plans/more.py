@@ -17,9 +17,9 @@ def routes_per_stop(spark, sf):
     return pairs.groupBy("stop_id").agg(F.countDistinct("label").alias("n_lines"), F.array_join(F.sort_array(F.collect_set(F.split_part("label", F.lit(" "), F.lit(1)))), ",").alias("words"))
 
 
-@query("q_level_gaps", "WITH l AS (SELECT DISTINCT p_brand AS building, p_size AS level FROM part WHERE p_size % 3 <> 1), g AS (SELECT building, level, lag(level) OVER (PARTITION BY building ORDER BY level) AS prev FROM l) SELECT building, CAST(unnest(range(prev + 1, level)) AS INT) AS missing FROM g WHERE level > prev + 1", prelude=False)
+@query("q_level_gaps", "WITH l AS (SELECT DISTINCT p_brand AS building, p_size + p_size // 3 AS level FROM part), g AS (SELECT building, level, lag(level) OVER (PARTITION BY building ORDER BY level) AS prev FROM l) SELECT building, CAST(unnest(range(prev + 1, level)) AS INT) AS missing FROM g WHERE level > prev + 1", prelude=False)
 def level_gaps(spark, sf):
-    levels = spark.read.parquet(f"{sf}/part.parquet").where("p_size % 3 <> 1").select(F.col("p_brand").alias("building"), F.col("p_size").alias("level")).distinct()
+    levels = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_brand").alias("building"), F.expr("CAST(p_size + p_size div 3 AS INT)").alias("level")).distinct()
     prev = F.lag("level").over(Window.partitionBy("building").orderBy("level"))
     return levels.withColumn("prev", prev).where("level > prev + 1").select("building", F.explode(F.sequence(F.col("prev") + 1, F.col("level") - 1)).alias("missing"))
 

@@ -77,3 +77,18 @@ def test_last_exception_of_a_service_counts(spark):
 def test_diff_of_equal_sides_is_empty(spark):
     d = spark.createDataFrame([(1, "a"), (2, None)], "id long, v string")
     assert graph.diff(d, d, ["v"]).count() == 0
+
+
+def test_components_of_whole_table(spark):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect():
+        a, b = sorted((find(r[0]), find(-r[1] - 1)))
+        root[b] = a
+    want = {x: find(x) for x in list(root)}
+    assert {r["id"]: r["component"] for r in QUERIES["q_components"](spark, SF).collect()} == want
