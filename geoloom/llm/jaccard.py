@@ -1,6 +1,8 @@
 """Jaccard join of documents' word n-grams by signature trees.
 
-Documents with equal sets collapse to one class. Classes meet where a whole part of their sets is equal: for two sets
+Documents with equal sets collapse to one class. A set that links has most of its items in some other set too; classes of
+which too many items occur nowhere else are set aside first, so that passages which many documents share do not tie
+documents together that have little else in common. The other classes meet where a whole part of their sets is equal: for two sets
 that link, at most d items differ, so of more than d parts one at least is untouched. Connected by such meetings, they
 form candidate groups. Passages that many documents share can join most classes into one group; a large group is
 therefore regrouped first by the pairs that parity sketches leave possible. In each group signature trees find the links:
@@ -28,6 +30,8 @@ BITS = 16
 SKETCH_BLOCK, TILE = 16384, (64, 1024)
 #: Parts beyond those that linked sets may differ in, so that empty parts seldom need a meeting place.
 SLACK = 2
+#: Names that stand for sets which need no answer.
+NOBODY = (-1, -2)
 _U = np.uint64
 
 
@@ -246,7 +250,81 @@ def possible(num: int, den: int):
     return run
 
 
-def describe(n: int, num: int, den: int):
+def _per_print(num: int, den: int) -> int:
+    """One item of so many, chosen by hash, is looked up in other sets: twice as many as two linked sets may differ in."""
+    return max(1, den // (2 * (den - num)))
+
+
+def prints(doc: np.ndarray, h: np.ndarray, ids: np.ndarray, every: int, ranges: int) -> tuple[np.ndarray, np.ndarray, list[dict]]:
+    """(chosen items of each set, those of them that other sets here have too, the rest as blobs by range of hashes).
+
+    A blob lists sets, how many items of each follow, and 32 bits of each item. An item that several sets here have is
+    sent once, for two sets without a row, so that no item sends more rows than there are runs of texts.
+    """
+    x = _mix(h ^ _U(0x6A09E667F3BCC909))
+    pick = (x % _U(every)) == 0
+    d, x = doc[pick], x[pick] // _U(every)
+    kept = np.bincount(d, minlength=len(ids))
+    owner = ids[d]
+    order = np.lexsort((owner, x))
+    same = np.concatenate([[False], x[order][1:] == x[order][:-1]]) if len(x) else np.zeros(0, bool)
+    group = np.cumsum(~same) - 1
+    other = same & np.concatenate([[False], owner[order][1:] != owner[order][:-1]]) if len(x) else same
+    several = np.bincount(group[other], minlength=int(group[-1]) + 1 if len(group) else 0) > 0
+    known = np.zeros(len(x), bool)
+    known[order] = several[group]
+    here = np.bincount(d[known], minlength=len(ids))
+    once = x[order][~same][several]
+    owner = np.concatenate([owner[~known], np.full(len(once), NOBODY[0]), np.full(len(once), NOBODY[1])])
+    x = np.concatenate([x[~known], once, once])
+    part = (x % _U(ranges)).astype(np.int64)
+    bits = (x // _U(ranges)).astype(np.uint32)
+    order = np.lexsort((owner, part))
+    part, owner, bits = part[order], owner[order], bits[order]
+    blobs = []
+    for begin, end in zip(*_spans(part), strict=True):
+        first, last = _spans(owner[begin:end])
+        blobs.append({"range": int(part[begin]), "ids": owner[begin:end][first].tobytes(), "counts": (last - first).astype(np.uint32).tobytes(), "items": bits[begin:end].tobytes()})
+    return kept, here, blobs
+
+
+def _spans(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of equal values."""
+    cut = np.flatnonzero(x[1:] != x[:-1]) + 1
+    edges = np.concatenate([[0], cut, [len(x)]]) if len(x) else np.zeros(1, np.int64)
+    return edges[:-1], edges[1:]
+
+
+def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(set_id, n): chosen items of each set that some other set has too. Batches are a partition's blobs, sorted by range."""
+
+    def count(blobs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
+        owner = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c, _ in blobs] or [np.zeros(0, np.int64)])
+        item = np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in blobs] or [np.zeros(0, np.uint32)])
+        order = np.lexsort((owner, item))
+        owner, item = owner[order], item[order]
+        fresh = np.ones(len(item), bool)
+        fresh[1:] = (item[1:] != item[:-1]) | (owner[1:] != owner[:-1])
+        owner, item = owner[fresh], item[fresh]
+        again = np.zeros(len(item), bool)
+        again[1:] = item[1:] == item[:-1]
+        again[:-1] |= again[1:]
+        found, n = np.unique(owner[again], return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n, pa.int64())], ["set_id", "n"])
+
+    now, blobs = None, []
+    for b in batches:
+        for r, *blob in zip(*(b.column(c).to_pylist() for c in ("range", "ids", "counts", "items")), strict=True):
+            if r != now:
+                yield count(blobs)
+                now, blobs = r, []
+            blobs.append(blob)
+    yield count(blobs)
+
+
+def describe(n: int, num: int, den: int, ranges: int):
+    blob = pa.list_(pa.struct([("range", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [t or b"" for t in b.column("raw").to_pylist()]
@@ -257,7 +335,13 @@ def describe(n: int, num: int, den: int):
                 order = np.argsort(who, kind="stable")
                 offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=end - begin))]).astype(np.int32)
                 listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(begin, end - begin), pa.array(sizes.astype(np.int64)), pa.array(ids), listed, pa.array(sketches(doc, h, end - begin), pa.binary())], ["doc_id", "n_shingles", "set_id", "keys", "sketch"])
+                kept, here, blobs = prints(doc, h, ids, _per_print(num, den), ranges)
+                rows = end - begin
+                sent = pa.array([blobs, *[None] * (rows - 1)], blob)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(begin, rows), pa.array(sizes.astype(np.int64)), pa.array(ids), listed, pa.array(sketches(doc, h, rows), pa.binary()), pa.array(kept.astype(np.int64)), pa.array(here.astype(np.int64)), sent],
+                    ["doc_id", "n_shingles", "set_id", "keys", "sketch", "kept", "here", "prints"],
+                )
 
     return run
 
@@ -448,17 +532,23 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     component is their own doc_id. Equal texts share a component; rows that repeat repeat; a null doc_id takes part,
     but gives no component its id unless all of it are null. Columns other than doc_id and text are left aside.
 
-    Only ids, keys, sketches and texts of candidate classes are shuffled. A candidate group of more than BLOCK classes is
+    Only ids, keys, sketches, a part of the items at 32 bits and texts of candidate classes are shuffled. A candidate group of more than BLOCK classes is
     regrouped by sketches; what is still larger is cut by size and hash into blocks, and pairs of blocks whose sizes are
     near enough become tasks.
     """
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    described = materialize(raw.mapInArrow(describe(n, num, den), "doc_id long, n_shingles long, set_id long, keys array<long>, sketch binary"), "sets")
+    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = "doc_id long, n_shingles long, set_id long, keys array<long>, sketch binary, kept long, here long, prints array<struct<range:int,ids:binary,counts:binary,items:binary>>"
+    described = materialize(raw.mapInArrow(describe(n, num, den, 4 * parts), columns), "sets")
     full = described.where("n_shingles > 0")
-    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes")
-    one = full.select("doc_id", "set_id", "keys").join(classes.select("set_id", "rep"), "set_id").where(F.col("doc_id").eqNullSafe(F.col("rep")))
+    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("kept").alias("kept"), F.max("here").alias("here")), "classes")
+    sent = described.where("prints IS NOT NULL").select(F.explode("prints").alias("p")).select("p.*")
+    shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(elsewhere, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("n"))
+    # of a set that links, at most n_shingles - ceil(num / den * n_shingles) items are in no other set
+    own = F.col("kept") - F.col("here") - F.coalesce("n", F.lit(0))
+    meeting = materialize(classes.join(shared, "set_id", "left").where(den * own <= (den - num) * F.col("n_shingles")).select("set_id", "rep"), "meeting")
+    one = full.select("doc_id", "set_id", "keys").join(meeting, "set_id").where(F.col("doc_id").eqNullSafe(F.col("rep")))
     keyed = one.select("set_id", F.explode("keys").alias("key"))
-    parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     met = keyed.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(meet, "a long, b long")
     group = materialize(components(materialize(met.distinct(), "meetings")), "groups")
 

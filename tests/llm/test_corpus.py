@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -375,3 +376,40 @@ def test_sketches_keep_every_link():
                 linked += 1
                 assert root[i] == root[j]
         assert linked
+
+
+@pytest.mark.parametrize("every", [1, 2, 5])
+def test_items_in_other_sets(every):
+    rng = np.random.default_rng(every)
+    sets = [np.unique(rng.integers(0, 400, k)) for k in (0, 1, 3, 30, 60, 90, 5, 40)]
+    sets += [sets[4], np.append(sets[5], 999), np.zeros(0, int)]
+    hashes = [jaccard._mix(s.astype(np.uint64)) for s in sets]
+    ids = np.array([hash(s.tobytes()) for s in sets])
+    batches, kept, here = [], [], []
+    for some in (range(4), range(4, 8), range(8, 11)):
+        doc = np.repeat(np.arange(len(some)), [len(sets[i]) for i in some])
+        k, h, blobs = jaccard.prints(doc, np.concatenate([hashes[i] for i in some]), ids[list(some)], every, 3)
+        kept, here, batches = kept + k.tolist(), here + h.tolist(), batches + blobs
+    batches.sort(key=lambda b: b["range"])
+    types = {"range": pa.int32(), "ids": pa.binary(), "counts": pa.binary(), "items": pa.binary()}
+    table = pa.table({c: pa.array([b[c] for b in batches], t) for c, t in types.items()})
+    found = {}
+    for b in jaccard.elsewhere(iter(table.to_batches(max_chunksize=2))):
+        for s, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            found[s] = found.get(s, 0) + n
+    for i, s in enumerate(sets):
+        others = set().union(*(map(int, t) for t, name in zip(sets, ids, strict=True) if name != ids[i]))
+        if every == 1:
+            assert kept[i] == len(s)
+        both = here[i] + found.get(int(ids[i]), 0)
+        assert both >= len(others & set(map(int, s))) * (every == 1)
+        if every == 1 and i < 8 and i != 4:
+            assert both == len(others & set(map(int, s)))
+
+
+def test_shared_passage_ties_no_documents(spark):
+    passage = " ".join(f"shared{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(80)) + " " + passage) for i in range(40)]
+    rows += [(100 + i, rows[i][1] + " end") for i in range(5)] + [(200, passage), (201, passage + " end")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {**{i: i for i in range(40)}, **{100 + i: i for i in range(5)}, 200: 200, 201: 200}
