@@ -521,7 +521,7 @@ def _tasks(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
     mine = F.pmod(F.xxhash64("set_id"), F.col("parts"))
     where = lambda b1, p1, b2, p2: F.when((b1 < b2) | ((b1 == b2) & (p1 <= p2)), F.concat_ws(":", F.col("root"), b1, p1, b2, p2)).otherwise(F.concat_ws(":", F.col("root"), b2, p2, b1, p1))
     tasks = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["other_parts"] - 1), lambda p: where(F.col("band"), mine, o["other"], p))))
-    return plan.withColumn("block", F.coalesce(F.concat_ws(":", "band", mine), F.lit(""))).withColumn("task", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string")))))
+    return plan.withColumn("block", F.when(F.col("parts").isNull(), "").otherwise(F.concat_ws(":", "band", mine))).withColumn("task", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string")))))
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:

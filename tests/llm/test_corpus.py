@@ -193,6 +193,14 @@ def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     assert sorted(tuple(x) for x in out.collect()) == sorted(components(rows, 3, 90, 100))
 
 
+def test_large_groups_of_many_sizes_are_regrouped_whole(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    w = prose(5, 200).split()
+    rows = [(k, " ".join(w[: 80 + 2 * k])) for k in range(40)] + [(100 + k, " ".join([*w[: 80 + 2 * k], f"w{k}"])) for k in range(40)]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100)
+    assert sorted(tuple(x) for x in out.collect()) == sorted(components(rows, 5, 80, 100))
+
+
 def test_trees_find_what_all_pairs_find():
     import numpy as np
 
