@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, let, words
+from geoloom.llm.common import documents, let, materialize, words
 
 #: Buckets of the hashed n-grams; the two multinomials have one entry for each.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
+#: So many buckets are packed into one row before all meet in a single one.
+PACKED = 1 << 10
 #: At most so many trusted documents, those of the least hashed ids, give the target's counts; their ids are broadcast.
 TRUSTED = 20_000
-#: A document goes if its mean log-likelihood ratio is below this.
+#: A document goes if its mean log-likelihood ratio is below this, where labels give no threshold.
 THRESHOLD = -0.5
 SMOOTHING = 1.0
 
@@ -71,14 +73,14 @@ def bucket_ratios(docs: DataFrame, labels: DataFrame, limit: int = TRUSTED) -> D
     Counts cover every word of every document; they are added up by task before the shuffle, at most BUCKETS rows each.
     """
     hit = docs.join(F.broadcast(trusted_ids(labels, limit)), F.col("doc_id") == F.col("_trusted"), "left")
-    grams = hit.select(F.col("_trusted").isNotNull().cast("long").alias("_t"), F.explode(let(words(F.col("text")), ngram_buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("_t").alias("target"))
-    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
-    counts = every.join(counts, "bucket", "left").fillna(0)
-    total = lambda c: F.sum(c).over(Window.partitionBy()) + F.lit(SMOOTHING * BUCKETS)
-    ratio = F.log((F.col("target") + SMOOTHING) / total("target")) - F.log((F.col("raw") + SMOOTHING) / total("raw"))
-    listed = counts.select(F.struct("bucket", F.round(ratio, 9).alias("ratio")).alias("x"))
-    return listed.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["ratio"]).alias("ratio"))
+    grams = hit.select(F.lit(1).cast("long").alias("_n"), F.col("_trusted").isNotNull().cast("long").alias("_t"), F.explode(let(words(F.col("text")), ngram_buckets)).alias("bucket"))
+    none = F.lit(0).cast("long")
+    every = docs.sparkSession.range(BUCKETS).select(none.alias("_n"), none.alias("_t"), F.col("id").cast("int").alias("bucket"))
+    counts = grams.unionByName(every).groupBy("bucket").agg(F.sum("_n").alias("raw"), F.sum("_t").alias("target"))
+    packed = counts.groupBy(F.floor(F.col("bucket") / PACKED).alias("pack")).agg(F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("counts"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    whole = packed.agg(F.sort_array(F.collect_list(F.struct("pack", "counts"))).alias("packs"), *[(F.sum(c) + F.lit(SMOOTHING * BUCKETS)).alias(c) for c in ("raw", "target")])
+    ratio = lambda x: F.log((x["target"] + SMOOTHING) / F.col("target")) - F.log((x["raw"] + SMOOTHING) / F.col("raw"))
+    return whole.select(F.flatten(F.transform("packs", lambda p: F.transform(p["counts"], lambda x: F.round(ratio(x), 9)))).alias("ratio"))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, limit: int = TRUSTED) -> DataFrame:
@@ -106,6 +108,27 @@ def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
 
 
+def learned_threshold(scored: DataFrame, labels: DataFrame) -> float:
+    """The score that parts labelled documents best: most of the bad below it less most of the good, as shares.
+
+    Every labelled document that passes the base rule counts, in cells of a thousandth, so that the driver sees a bounded
+    table. The threshold lies midway between the scores on its two sides; without both labels it is THRESHOLD.
+    """
+    known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).distinct()
+    d = scored.where("NOT base_failed").join(known, F.col("doc_id") == F.col("_id"))
+    cell = F.floor(F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("score"))) * 1000)
+    cells = sorted(d.groupBy(cell.alias("cell")).agg(F.count_if(F.col("_q") == 0), F.count_if(F.col("_q") == 1), F.min("score"), F.max("score")).collect())
+    bad, good = sum(c[1] for c in cells), sum(c[2] for c in cells)
+    best, threshold, low, lost = 0.0, THRESHOLD, 0, 0
+    for c, after in zip(cells, cells[1:], strict=False):
+        low, lost = low + c[1], lost + c[2]
+        if bad and good and low / bad - lost / good > best:
+            best, threshold = low / bad - lost / good, (c[4] + after[3]) / 2
+    return threshold
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = materialize(quality_rules(documents(spark, sf_dir), labels), "quality-rules")
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= learned_threshold(out, labels)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")

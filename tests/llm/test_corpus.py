@@ -138,6 +138,17 @@ def test_quality_rules(spark, odd, labels):
     assert rules.quality_rules(odd.limit(0), labels.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_labelled_bad_documents_are_rejected_at_any_size(spark, sf):
+    d = f"/root/testdata/{sf}"
+    labelled = spark.read.parquet(f"{d}/labels.parquet").where("quality IS NOT NULL")
+    out = rules.op4_quality_rules(spark, d).where("NOT base_failed").join(labelled, "doc_id")
+    n, kept = {}, {}
+    for r in out.groupBy("quality").agg(F.count("*").alias("n"), F.count_if("kept").alias("kept")).collect():
+        n[r.quality], kept[r.quality] = r.n, r.kept
+    assert kept[0] <= 0.02 * n[0] and kept[1] >= 0.98 * n[1]
+
+
 def components(rows, n, num, den):
     def items(t):
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
