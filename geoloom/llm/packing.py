@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents, materialize, prefix_sums
-from geoloom.llm.tokens import Encoder
+from geoloom.llm.tokens import Encoder, default_added
 
 CAPACITY, END_ID = 1024, 2
 
@@ -124,9 +124,9 @@ def pieces_of(total: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     return [(0, first), *((s, capacity) for s in range(first, total, capacity))]
 
 
-def cut(capacity: int, end_id: int, tokenizer: str):
+def cut(capacity: int, end_id: int, tokenizer: str, added: dict[str, int]):
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, added)
         tail = np.array([end_id], "<u4")
         for batch in batches:
             rows = []
@@ -168,14 +168,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """Tokenise, cut and pack. ``tokenizer``: the rank file of byte_bpe_50k.json's vocabulary. Null text is an empty document, which still has its end id; repeated rows are packed each."""
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
+    """Tokenise, cut and pack. ``tokenizer``: the rank file of byte_bpe_50k.json's vocabulary; ``added``: the literals that are one token each, those of that file if None. Null text is an empty document, which still has its end id; repeated rows are packed each."""
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return pack(materialize(docs.select("doc_id", "text").mapInArrow(cut(capacity, end_id, tokenizer), schema), "packing-pieces"), capacity)
+    return pack(materialize(docs.select("doc_id", "text").mapInArrow(cut(capacity, end_id, tokenizer, default_added() if added is None else added), schema), "packing-pieces"), capacity)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

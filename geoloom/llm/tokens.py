@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,25 +16,46 @@ from geoloom.llm.common import documents
 
 
 class Encoder:
-    """text -> ids as little-endian unsigned 32-bit integers, by a byte-level BPE rank file, without special tokens.
+    """text -> ids as little-endian unsigned 32-bit integers, by a byte-level BPE rank file; none are put around the text.
 
-    The ids equal those that the ``tokenizers`` file of the same vocabulary gives, which tests hold it against.
+    With ``added`` (literal -> id) texts are split at those literals first, each of which is one token. The ids then equal
+    those that the ``tokenizers`` file of the same vocabulary gives as it is loaded, which tests hold it against.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = dict(added or {})
+        encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in self.added.values()}, special_tokens=self.added)
+        self.plain, self.split = encoding.encode_ordinary, partial(encoding.encode, allowed_special="all")
         #: Bytes of each token.
-        self.lengths = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.lengths = np.zeros(max(*ranks.values(), *self.added.values()) + 1, np.int64)
         for token, i in ranks.items():
             self.lengths[i] = len(token)
+        for literal, i in self.added.items():
+            self.lengths[i] = len(literal.encode())
 
     def __call__(self, text: str) -> np.ndarray:
-        return np.array(self.plain(text), "<u4")
+        return np.array((self.split if any(x in text for x in self.added) else self.plain)(text), "<u4")
+
+
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a ``tokenizers`` file, all of which must be plain literals: matched anywhere, as they stand."""
+    with open(path, encoding="utf-8") as f:
+        listed = json.load(f)["added_tokens"]
+    if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in listed):
+        raise ValueError(f"an added token of {path} is more than a literal")
+    return {x["content"]: x["id"] for x in listed}
+
+
+def default_added() -> dict[str, int]:
+    """Those of byte_bpe_50k.json, whose vocabulary the default rank file holds."""
+    import public_tokenizers
+
+    return added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def section_starts(raw: bytes) -> np.ndarray:
@@ -62,9 +85,9 @@ def attribute(ends: np.ndarray, starts: np.ndarray, size: int) -> tuple[np.ndarr
 COUNT_SCHEMA = "doc_id long, section int, start long, end long, n_tokens long, n_crossing long"
 
 
-def count_batches(tokenizer: str):
+def count_batches(tokenizer: str, added: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = Encoder(tokenizer, added)
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -83,17 +106,17 @@ def count_batches(tokenizer: str):
     return run
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, added: dict[str, int] | None = None) -> DataFrame:
     """One row per section of each document: its span in code points, its tokens, and those that cross its end or start.
 
     A document is encoded whole and once, so a section's count is what it adds to the document's, not what it would
-    have alone. Null and empty texts have one empty section with no token; rows that repeat repeat.
+    have alone. ``added``: the literals that are one token each; those of byte_bpe_50k.json if None. Null and empty texts have one empty section with no token; rows that repeat repeat.
     """
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return docs.select("doc_id", "text").mapInArrow(count_batches(tokenizer), COUNT_SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(count_batches(tokenizer, default_added() if added is None else added), COUNT_SCHEMA)
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,24 @@ def test_token_counts_equal_whole_encoding(spark, odd):
     assert tokens.count_tokens(odd.limit(0)).count() == 0
 
 
+def test_added_tokens_are_one_token(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|>", "a <|endoftext|> x", "a\n\n<|endoftext|>\n b<|endoftext|><|endoftext|>", "<|endof<|endoftext|>text|>", "  <|ENDOFTEXT|>  é"]
+    ids = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    encode = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), tokens.default_added())
+    assert [encode(t).tolist() for t in texts] == ids and ids[0] == [50256]
+    per = Counter()
+    for r in tokens.count_tokens(docs).collect():
+        per[r.doc_id] += r.n_tokens
+    assert [per[i] for i in range(len(texts))] == [len(x) for x in ids]
+    packed = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs).collect()}
+    assert packed == {i: (len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_a_crossing_token_goes_to_the_section_that_holds_more_of_it():
     import numpy as np
 
