@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import documents, materialize
 from geoloom.llm.spans import bound, digits, matches, pick, total, trees
 
-#: Runs of 16 or more token characters of which one, at least, is a digit or a capital after the first.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]?[a-z+/_=-]*+[A-Z0-9])[A-Za-z0-9+/_-]{16,}+={0,2}"
+#: Runs of 16 or more token characters of which one, at least, is a digit or a capital after the first. An equals sign is
+#: padding at the end of a run only, and no part of it where a token character follows, as between a name and its value.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]?[a-z+/_-]*+[A-Z0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
 #: Frequent parts of words, for the share of a candidate that a dictionary covers.
 PARTS = "tion|ment|ness|able|ible|ing|the|and|for|with|that|this|from|have|ent|ion|ter|her|ein|sch|ich|der|die|und|que|ado|con|est|les|des|eau|aux|oun|and|ver|pro|com|int|ate|ous|ell|ble|rea|sta|str"
 #: Labelled findings the forest learns from, and the share of its votes that a secret needs.
@@ -51,21 +52,24 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     hexed = F.substring(F.md5(F.col("id").cast("string")), 1, 32)
     sha = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40)
     mixed = F.regexp_replace(F.base64(F.unhex(F.substring(F.sha2(F.concat(F.lit("m"), F.col("id").cast("string")), 256), 1, 48))), "[+/=]", "x")
-    named = pick(['token = "', "secret: ", "api_key=", "password = '", "Authorization: Bearer ", 'access_key = "', "auth token "], key(1))
+    named = pick(['token = "', "secret: ", "api_key=", "password = '", "Authorization: Bearer ", 'access_key = "', "auth token ", "TOKEN=", "secret:", "password=", "https://a.example/v1?page=2&access_token=", "/login?auth="], key(1))
     value = F.element_at(F.array(hexed, sha, mixed, F.upper(sha)), (F.pmod(key(2), F.lit(4)) + 1).cast("int"))
     known = F.concat(pick(["AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-"], key(3)), mixed)
-    true = F.when(F.pmod(key(4), F.lit(4)) == 0, F.concat(pick(["use ", "key ", "= ", "with "], key(5)), known)).otherwise(F.concat(named, value))
+    known = F.when(F.pmod(key(45), F.lit(3)) == 0, F.concat(pick(["AKIA", "ASIA"], key(46)), F.upper(F.substring(sha, 1, 16)))).otherwise(known)
+    value = F.when(F.pmod(key(47), F.lit(4)) == 0, known).otherwise(value)
+    true = F.when(F.pmod(key(4), F.lit(4)) == 0, F.concat(pick(["use ", "key ", "= ", "with ", "KEY=", "id:", "?q="], key(5)), known)).otherwise(F.concat(named, value))
     word = F.concat(*[pick(["Tion", "ing", "and", "the", "Rea", "ment", "ous", "ver", "able", "sch"], key(10 + i)) for i in range(6)])
     false = F.element_at(
         F.array(
-            F.concat(pick(["commit ", "sha1 ", "md5: ", "checksum ", "revision ", "etag: ", "build "], key(6)), F.element_at(F.array(hexed, sha), (F.pmod(key(7), F.lit(2)) + 1).cast("int"))),
+            F.concat(pick(["commit ", "sha1 ", "md5: ", "checksum ", "revision ", "etag: ", "build ", "commit=", "sha1=", "md5:", "?hash=", "etag="], key(6)), F.element_at(F.array(hexed, sha), (F.pmod(key(7), F.lit(2)) + 1).cast("int"))),
             F.concat(pick(["so ", "of ", "token ", "and "], key(8)), word),
             F.concat(pick(["see ", "file ", "in "], key(9)), F.lit("src/"), word, F.lit("/part-"), digits(5, F.col("id"), F.lit(30))),
-            F.concat(pick(['token = "', "password: ", "api_key="], key(31)), pick(["YOUR_API_KEY_HERE_000", "xxxxxxxxxxxxxxxx0000", "EXAMPLEEXAMPLE123456", "changeme-changeme-1"], key(32))),
+            F.concat(pick(['token = "', "password: ", "api_key=", "TOKEN=", "?auth="], key(31)), pick(["YOUR_API_KEY_HERE_000", "xxxxxxxxxxxxxxxx0000", "EXAMPLEEXAMPLE123456", "changeme-changeme-1"], key(32))),
             F.concat(pick(["number ", "in ", "of ", "card "], key(33)), digits(8, F.col("id"), F.lit(34)), digits(8, F.col("id"), F.lit(35))),
-            F.concat(pick(["uuid ", "page ", "image "], key(36)), hexed),
+            F.concat(pick(["uuid ", "page ", "image ", "uuid=", "?page=", "image:"], key(36)), hexed),
+            F.concat(pick(["AWS_SECRET_ACCESS_KEY", "GITHUB_ACCESS_TOKEN", "DATABASE_PASSWORD", "SERVICE_AUTH_SECRET", "clientPrivateKeyFile", "STRIPE_API_KEY_LIVE_2"], key(42)), pick(["=", ": ", " = "], key(43)), pick(["none", "env", "<unset>", "8080"], key(44))),
         ),
-        (F.pmod(key(37), F.lit(6)) + 1).cast("int"),
+        (F.pmod(key(37), F.lit(7)) + 1).cast("int"),
     )
     path = F.when(F.pmod(key(38), F.lit(8)) == 0, pick(["tests/a.py", "examples/b.md"], key(39))).otherwise(pick(["src/a.py", "conf/b.yml", "web", "notes"], key(40)))
     return d.select("id", "label", path.alias("path"), F.concat(F.lit("Here "), F.when(F.col("label") == 1, true).otherwise(false), pick(['" ', " then", ".", "'"], key(41))).alias("text"))
@@ -88,7 +92,7 @@ def fit(spark: SparkSession, rows: int = LABELLED) -> Forest:
     """Train on the labelled findings, once in an application."""
     key = (spark.sparkContext.applicationId, rows)
     if key not in _FORESTS:
-        d = labelled(spark, rows).select("id", "label", "path", F.explode(matches(F.col("text"), CANDIDATE)).alias("c"))
+        d = labelled(spark, rows).select("id", "label", "path", F.explode(matches(F.col("text"), CANDIDATE, over=True)).alias("c"))
         d = d.select("id", "label", *[x.alias(n) for n, x in zip(FEATURES, candidate_features(F.col("c"), F.col("path")), strict=True)])
         d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(d.coalesce(1), "secret-findings").coalesce(1).sortWithinPartitions("id"))
         model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, maxDepth=6, seed=7, featureSubsetStrategy="sqrt").fit(d)
@@ -102,7 +106,7 @@ def find_secrets(docs: DataFrame, forest: Forest, path: str = "source", votes: f
     Null and empty texts have none; a null path counts as empty; rows that repeat repeat. Scoring happens within a row.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.coalesce(F.col(path), F.lit("")).alias("_path"))
-    scored = F.transform(matches(F.col("_text"), CANDIDATE), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.round(bound(candidate_features(c, F.col("_path")), forest.score), 6).alias("score"), F.sha2(c["text"], 256).alias("secret_sha256")))
+    scored = F.transform(matches(F.col("_text"), CANDIDATE, over=True), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.round(bound(candidate_features(c, F.col("_path")), forest.score), 6).alias("score"), F.sha2(c["text"], 256).alias("secret_sha256")))
     return d.select("doc_id", F.explode(F.filter(scored, lambda c: c["score"] >= votes)).alias("c")).select("doc_id", "c.*")
 
 

@@ -15,19 +15,26 @@ CONTEXT = 32
 SPAN = "struct<start:bigint,end:bigint,text:string,before:string,after:string>"
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, over: bool = False) -> Column:
     """The leftmost non-overlapping matches of ``pattern`` with start, end (code points, exclusive), text and context.
 
     Matches and the gaps between them come from two passes of the same pattern; positions are running sums of lengths.
-    Null text has none. ``pattern`` must not match the empty string.
+    Context ends at the neighbouring matches, or with ``over`` takes in the one on either side. Null text has none.
+    ``pattern`` must not match the empty string.
     """
 
     def placed(found: Column) -> Column:
         gaps = F.split(text, pattern, -1)
 
+        def around(g: Column, i: Column) -> tuple[Column, Column]:
+            if not over:
+                return F.get(g, i), F.get(g, i + 1)
+            near = lambda j: F.coalesce(F.get(found, j), F.lit(""))
+            return F.concat(near(i - 1), F.get(g, i)), F.concat(F.get(g, i + 1), near(i + 1))
+
         def at(g: Column) -> Column:
             ends = running_sums(F.transform(found, lambda m, i: F.length(m) + F.length(F.get(g, i))))
-            return F.transform(F.arrays_zip(found.alias("m"), ends.alias("e")), lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("text"), F.right(F.get(g, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(g, i + 1), F.lit(CONTEXT)).alias("after")))
+            return F.transform(F.arrays_zip(found.alias("m"), ends.alias("e")), lambda x, i: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["m"].alias("text"), F.right(around(g, i)[0], F.lit(CONTEXT)).alias("before"), F.left(around(g, i)[1], F.lit(CONTEXT)).alias("after")))
 
         return let(gaps, at)
 

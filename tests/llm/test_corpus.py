@@ -332,6 +332,23 @@ def test_secrets(spark, odd):
     assert secrets.find_secrets(odd.limit(0), forest).count() == 0
 
 
+SECRET_NAMES = ["TOKEN=", "api_key=", "AWS_SECRET_ACCESS_KEY=", "export GITHUB_ACCESS_TOKEN=", "password:", "access_key:", "GET https://x.example/v1?page=2&token=", "https://x.example/cb?access_token="]
+
+
+def test_secrets_that_follow_a_sign_directly(spark):
+    rows, value = [], {}
+    for i in range(10):
+        hexed = hashlib.sha1(f"k{i}".encode()).hexdigest()
+        for k, name in enumerate(SECRET_NAMES):
+            value[len(rows)] = hexed if i % 2 else "AKIA" + hexed[:16].upper()
+            rows.append((len(rows), f"Set {name}{value[len(rows)]}{'&x=1' if '?' in name else ''} then", "conf/b"))
+    bare = [(1000 + i, f"see {n}{hashlib.sha1(str(i).encode()).hexdigest()} by", "conf/b") for i, n in enumerate(["commit=", "sha1:", "?hash=", "etag="] * 5)]
+    found = secrets.find_secrets(spark.createDataFrame(rows + bare, "doc_id long, text string, source string"), secrets.fit(spark)).collect()
+    text = {i: t for i, t, _ in rows + bare}
+    assert {r.doc_id: text[r.doc_id][r.start : r.end] for r in found} == value and len(found) == len(value)
+    assert all(r.secret_sha256 == hashlib.sha256(value[r.doc_id].encode()).hexdigest() for r in found)
+
+
 def test_packing(spark, odd):
     out = packing.pack_documents(odd).collect()
     per, seqs = defaultdict(list), defaultdict(list)
