@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.storage import discard, materialize
 
 
 def weld(vertices: DataFrame, size: int = 2) -> DataFrame:
@@ -22,14 +20,17 @@ def snap(points: DataFrame, junctions: DataFrame, size: int = 2) -> DataFrame:
     return keyed.join(junctions, ["wx", "wy"], "left")
 
 
-def nearest(points: DataFrame, targets: DataFrame, cell: int = 512, extent: int = 4096) -> DataFrame:
-    """Each point's nearest target on the grid, least id on ties, by squared distance.
+def nearest(points: DataFrame, targets: DataFrame, cell: int = 512) -> DataFrame:
+    """Each point's nearest target, least id on ties, by squared distance; no row where there are no targets.
 
-    Points look into the cells around their own; those whose answer is not proven by that (a target within the ring's
-    width) look again with cells twice as wide, until cells span the grid. Each pass is an equi-join on cells.
+    Points look into the cells around their own; those whose answer is not proven by that (a target within a cell's width)
+    are stored and look again with cells four times as wide, until three cells span all coordinates. Each pass is an
+    equi-join on cells.
     """
-    left, out = points.select("id", "gx", "gy"), None
     t = targets.select(F.col("id").alias("other"), F.col("gx").alias("ox"), F.col("gy").alias("oy"))
+    ends = [x for c in ("x", "y") for x in points.select(F.col(f"g{c}").alias("v")).unionByName(t.select(F.col(f"o{c}").alias("v"))).agg(F.min("v"), F.max("v")).first()]
+    extent = 0 if None in ends else max(ends[1] - ends[0], ends[3] - ends[2])
+    left, out = points.select("id", "gx", "gy"), None
     while True:
         key = lambda c, w=cell: F.floor(F.col(c) / float(w))
         look = left.withColumn("_cx", F.explode(F.sequence(key("gx") - 1, key("gx") + 1))).withColumn("_cy", F.explode(F.sequence(key("gy") - 1, key("gy") + 1)))
@@ -37,9 +38,9 @@ def nearest(points: DataFrame, targets: DataFrame, cell: int = 512, extent: int
         best = look.join(t.withColumn("_cx", key("ox")).withColumn("_cy", key("oy")), ["_cx", "_cy"]).groupBy("id").agg(F.min(F.struct(d2.alias("d2"), "other")).alias("m")).select("id", "m.*")
         if cell >= extent:
             return best if out is None else out.unionByName(best)
-        sure = best.where(F.col("d2") <= cell * cell)
+        sure = materialize(best.where(F.col("d2") <= float(cell) * cell), "nearest")
         out = sure if out is None else out.unionByName(sure)
-        left, cell = left.join(sure, "id", "left_anti"), cell * 4
+        left, cell = materialize(left.join(sure, "id", "left_anti"), "far"), cell * 4
 
 
 def mirrored(edges: DataFrame) -> DataFrame:
@@ -54,27 +55,37 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"), F.countDistinct("n").alias("neighbours"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least node id each node reaches. Rounds of least labels, stored in the shared folder."""
-    spark = edges.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="geoloom-graph-")
-
-    def stored(df: DataFrame) -> DataFrame:
-        path = f"{base}/components-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.parquet(path)
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, root): the least node reachable by ``edges`` (a, b), for each node that an edge joins to another.
 
-    both = stored(edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b")).unionByName(edges.select(F.col("to_id").alias("a"), F.col("from_id").alias("b"))).distinct())
-    label, before = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("l"))), None
+    Rounds of large-star and small-star: each node hands its larger, then its smaller, neighbours to the least of them.
+    Their number grows with the logarithm of the longest path. Every round is a stored table, which goes once the next one
+    is there; a count and a hash of the edges tell the end.
+    """
+    edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    state = None
     while True:
-        near = both.join(label.withColumnsRenamed({"a": "b"}), "b").groupBy("a").agg(F.min("l").alias("m"))
-        nxt = label.join(near, "a").select("a", F.least("l", "m").alias("l"))
-        jump = nxt.join(nxt.select(F.col("a").alias("l"), F.col("l").alias("up")), "l").select("a", F.least("l", "up").alias("l"))
-        label = stored(jump)
-        now = label.agg(F.sum("l")).first()[0]
-        if now == before:
-            return label.select(F.col("a").alias("id"), F.col("l").alias("component"))
-        before = now
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = large.groupBy("b").agg(F.min("a").alias("m"))
+        small = large.join(low, "b")
+        small = small.select("m", F.col("a").alias("x")).union(small.select("m", F.col("b").alias("x"))).where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
+        nxt = materialize(small, "links")
+        discard(edges)
+        edges = nxt
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if now == state or not now[0]:
+            return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        state = now
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component): the least node id each node of ``edges`` (from_id, to_id) reaches; null ends are no node."""
+    ends = edges.where("from_id IS NOT NULL AND to_id IS NOT NULL").select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
+    root = connected(ends)
+    every = ends.select(F.col("a").alias("id")).union(ends.select(F.col("b").alias("id"))).distinct()
+    return every.join(root, F.col("id") == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def score(named: Column, kind: Column, has_tags: Column, has_height: Column, degree: Column, most: Column) -> Column:
