@@ -1,10 +1,8 @@
-"""Pieces the corpus operators share: shared tables, word patterns, prefix sums and array idioms."""
+"""Pieces the corpus operators share: word patterns, prefix sums and array idioms."""
 
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,28 +11,6 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]++"
 
-_OWN_DIRS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session, else one made for local use."""
-    app = spark.sparkContext.applicationId
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _OWN_DIRS.setdefault(app, tempfile.mkdtemp(prefix="geoloom-"))
-    return f"{base.rstrip('/')}/{app}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back, which cuts its lineage.
-
-    A lost executor costs a re-read and never a re-computation of what came before.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

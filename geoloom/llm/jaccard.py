@@ -1,13 +1,15 @@
-"""Jaccard join of documents' word n-grams by signature trees.
-
-Documents with equal sets collapse to one class. A set that links has most of its items in some other set too; classes of
-which too many items occur nowhere else are set aside first, so that passages which many documents share do not tie
-documents together that have little else in common. The other classes meet where a whole part of their sets is equal: for two sets
-that link, at most d items differ, so of more than d parts one at least is untouched. Connected by such meetings, they
-form candidate groups. Passages that many documents share can join most classes into one group; a large group is
-therefore regrouped first by the pairs that parity sketches leave possible. In each group signature trees find the links:
-nodes hold OR-combined bitmaps and size ranges, and a dual traversal leaves out node pairs whose largest possible overlap
-is too small.
+"""Jaccard join of documents' word n-grams by a signature tree.
+
+Documents with equal sets collapse to one class, the leaf entries of the tree. A set that links has most of its items in
+some other set too; classes of which too many items occur nowhere else get no entry, so that passages which many documents
+share do not tie documents together that have little else in common.
+
+The root's children are candidate groups. Sets that link differ in at most d items, so of more than d parts of them one at
+least is equal; sets that share no part, nor are tied by others that do, cannot overlap enough, and so every pair of
+children of the root is cut off at once, without being listed. Below, each node holds the OR of its sets' bitmaps, their
+range of sizes and by how much a size passes its bitmap's bits; a dual traversal goes down, level by level, those pairs of
+nodes whose largest possible overlap allows a link. Large groups are cut into blocks of subtrees, whose pairs are tasks: a
+first traversal over compact bitmaps alone parts what the root's rule tied together, a second over the items finds links.
 """
 
 from __future__ import annotations
@@ -20,14 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, materialize
+from geoloom.llm.common import documents
+from geoloom.operators.graph import connected
+from geoloom.storage import discard, materialize
 
-#: Bytes of text shingled at once, classes in a block of a candidate group, classes in a leaf, children of a node.
-RUN, BLOCK, LEAF, FANOUT = 1 << 21, 1024, 8, 8
-#: 64-bit words of a bitmap.
-BITS = 16
-#: Classes in a block of sketches; rows and columns of sketches compared at once.
-SKETCH_BLOCK, TILE = 16384, (64, 1024)
+#: Bytes of text shingled at once; sets, or items of sets, in a block of a candidate group; children of a node.
+RUN, BLOCK, BLOCK_ITEMS, FANOUT = 1 << 21, 256, 1 << 20, 8
+#: Sets in a block of compact bitmaps.
+MAP_BLOCK = 4096
+#: Words of bitmaps that are compared at once.
+WORDS = 1 << 20
 #: Parts beyond those that linked sets may differ in, so that empty parts seldom need a meeting place.
 SLACK = 2
 #: Names that stand for sets which need no answer.
@@ -159,97 +163,246 @@ def _set_ids(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return sizes, _mix(sums + sizes.astype(_U)).view(np.int64)
 
 
-def sketches(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
-    """Each set's parity sketch: bit i tells whether an odd number of its items hash to i.
+def bitmaps(doc: np.ndarray, h: np.ndarray, n: int) -> list[bytes]:
+    """Each set's bitmap, in which every item sets the bit it hashes to.
 
-    It has 64 bits at least, and the least power of two that is not below the set's size. The bits in which two sketches
-    differ are never more than the items in which the sets differ. XOR of its halves makes a sketch of half the length.
+    It has 64 bits at least, and the least power of two that is not below twice the set's size. OR of its halves makes a
+    bitmap of half the length.
     """
     sizes = np.bincount(doc, minlength=n)
-    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)))
+    bits = np.left_shift(1, np.maximum(6, np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64)))
     ends = np.cumsum(bits)
-    at = (ends - bits)[doc] + (_mix(h ^ _U(0x2127599BF4325C37)) & (bits[doc] - 1).astype(_U)).astype(np.int64)
-    odd = np.bincount(at, minlength=int(bits.sum())).astype(np.uint8) & 1
-    packed = np.packbits(odd, bitorder="little").tobytes()
+    on = np.zeros(int(bits.sum()), np.uint8)
+    on[(ends - bits)[doc] + (_mix(h ^ _U(0x2127599BF4325C37)) & (bits[doc] - 1).astype(_U)).astype(np.int64)] = 1
+    packed = np.packbits(on, bitorder="little").tobytes()
     return [packed[(e - b) // 8 : e // 8] for b, e in zip(bits.tolist(), ends.tolist(), strict=True)]
 
 
-def _folded(sketch: np.ndarray, width: int) -> np.ndarray:
-    """Sketches (rows of 64-bit words) at ``width`` words."""
-    while sketch.shape[1] > width:
-        half = sketch.shape[1] // 2
-        sketch = sketch[:, :half] ^ sketch[:, half:]
-    return sketch
+class Tree:
+    """A signature tree over sets, in the order given: nodes with the OR of bitmaps, size range and excess.
+
+    A set's excess is by how much its size passes its bitmap's bits. Any set of node x and any of node y share at most
+    ``bits(OR_x & OR_y) + min(excess_x, excess_y)`` items. ``rows`` are the sets' numbers.
+    """
+
+    def __init__(self, rows: np.ndarray, maps: np.ndarray, size: np.ndarray) -> None:
+        self.rows = rows
+        excess = size - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+        self.levels = [(maps, size, size, excess)]
+        while len(maps) > 1:
+            cut = np.arange(0, len(maps), FANOUT)
+            maps = np.bitwise_or.reduceat(maps, cut)
+            low, high, excess = np.minimum.reduceat(self.levels[-1][1], cut), np.maximum.reduceat(self.levels[-1][2], cut), np.maximum.reduceat(excess, cut)
+            self.levels.append((maps, low, high, excess))
+
+    def level(self, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return self.levels[min(i, len(self.levels) - 1)]
+
+
+def _least(total: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The least overlap with which two sets of so many items together link."""
+    return -(-num * total // (num + den))
+
+
+def traverse(t: Tree, u: Tree, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of sets that sizes and bitmaps allow to link, as numbers of rows of ``t`` and ``u``; with ``t is u`` each once.
+
+    Pairs of nodes go down together from the two roots; those whose largest possible overlap is too small go no further.
+    """
+    top = max(len(t.levels), len(u.levels)) - 1
+    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    most = max(64, WORDS // max(1, t.levels[0][0].shape[1]))
+    while stack:
+        level, i, j = stack.pop()
+        if len(i) > most:
+            stack += [(level, i[most:], j[most:])]
+            i, j = i[:most], j[:most]
+        (mi, li, hi, ei), (mj, lj, hj, ej) = t.level(level), u.level(level)
+        keep = (den * hi[i] >= num * lj[j]) & (den * hj[j] >= num * li[i])
+        i, j = i[keep], j[keep]
+        shared = np.bitwise_count(mi[i] & mj[j]).sum(axis=1, dtype=np.int64) + np.minimum(ei[i], ej[j])
+        keep = shared >= _least(li[i] + lj[j], num, den)
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        if not level:
+            if t is u:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                yield t.rows[i], u.rows[j]
+            continue
+        i, j = _children(t, level, i, j)
+        j, i = _children(u, level, j, i)
+        if t is u:
+            i, j = i[i <= j], j[i <= j]
+        stack.append((level - 1, i, j))
+
+
+def _children(t: Tree, level: int, own: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each pair once for every child of its own node; a tree's top stands for itself at levels above it."""
+    if level >= len(t.levels):
+        return own, other
+    n = len(t.levels[level - 1][1])
+    kids = own[:, None] * FANOUT + np.arange(FANOUT)[None]
+    there = kids < n
+    return kids[there], np.repeat(other, there.sum(axis=1))
 
 
-def possible_links(blocks: list[list[tuple[int, int, bytes]]], num: int, den: int) -> list[tuple[int, int]]:
-    """A forest over all pairs that size and sketch leave possible: within one block, or between two.
+def _folded(maps: np.ndarray, words: int) -> np.ndarray:
+    while maps.shape[1] > words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
-    A block lists (set_id, size, sketch). Sketches of one length form a stripe, sorted by size; stripes are compared in
-    tiles, at the shorter length, and pairs already connected are left out.
+
+def forest(rows: np.ndarray, sizes: np.ndarray, lows: np.ndarray, maps: list[bytes]) -> dict[int, Tree]:
+    """A tree for each length of bitmap, in words, over the sets of that length ordered by their least item.
+
+    Sets that are alike mostly share their least item, and so stand in the same nodes, whose bitmaps stay sparse.
     """
-    names = np.array([r[0] for b in blocks for r in b], np.int64)
-    root = np.arange(len(names))
-    stripes, base = [], 0
-    for side, b in enumerate(blocks):
-        by_length: dict[int, list[int]] = {}
-        for i, r in enumerate(b):
-            by_length.setdefault(len(r[2]) // 8, []).append(i)
-        for width, own in by_length.items():
-            own.sort(key=lambda i: b[i][1])  # noqa: B023
-            maps = np.frombuffer(b"".join([b[i][2] for i in own]), _U).reshape(len(own), width)
-            stripes.append((side, width, np.array(own) + base, np.array([b[i][1] for i in own]), maps))
-        base += len(b)
-    found = []
-    for x, (side, w1, at1, size1, maps1) in enumerate(stripes):
-        for y, (other, w2, at2, size2, maps2) in enumerate(stripes):
-            if (len(blocks) > 1 and side >= other) or y < x or max(w1, w2) > 2 * min(w1, w2):
+    words = np.array([len(m) // 8 for m in maps], np.int64)
+    out = {}
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        at = at[np.lexsort((rows[at], sizes[at], lows[at]))]
+        out[w] = Tree(rows[at], np.frombuffer(b"".join([maps[k] for k in at.tolist()]), _U).reshape(len(at), w), sizes[at])
+    return out
+
+
+def tree_pairs(one: dict[int, Tree], two: dict[int, Tree], num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """traverse() over all trees of two forests that can hold sets which link: within one if both are the same."""
+    ratio = 2 * max(1, -(-den // num))
+    for w, t in one.items():
+        for v, u in two.items():
+            if one is two and v < w or max(v, w) > ratio * min(v, w):
                 continue
-            left, right = _folded(maps1, min(w1, w2)), _folded(maps2, min(w1, w2))
-            for i in range(0, len(at1), TILE[0]):
-                rows = slice(i, i + TILE[0])
-                low = int(np.searchsorted(den * size2, num * size1[rows][0], side="left"))
-                high = int(np.searchsorted(num * size2, den * size1[rows][-1], side="right"))
-                if x == y:
-                    low = max(low, i)
-                for j in range(low, high, TILE[1]):
-                    cols = slice(j, min(j + TILE[1], high))
-                    apart = np.bitwise_count(left[rows, None] ^ right[None, cols]).sum(axis=2, dtype=np.int32)
-                    total = size1[rows][:, None] + size2[cols][None]
-                    # linked sets of this total size differ in at most (den - num) / (den + num) of it
-                    maybe = ((den + num) * apart <= (den - num) * total) & (root[at1[rows]][:, None] != root[at2[cols]][None])
-                    for p, q in zip(*(k.tolist() for k in np.nonzero(maybe)), strict=True):
-                        a, b = root[at1[i + p]], root[at2[j + q]]
-                        if a != b:
-                            root[root == b] = a
-                            found.append((int(names[at1[i + p]]), int(names[at2[j + q]])))
-    return found
+            if v == w:
+                yield from traverse(t, u, num, den)
+            else:
+                low = min(v, w)
+                x, y = (x if x.levels[0][0].shape[1] == low else Tree(x.rows, _folded(x.levels[0][0], low), x.levels[0][1]) for x in (t, u))
+                yield from traverse(x, y, num, den)
 
 
-def possible(num: int, den: int):
-    """possible_links() of each task's blocks. Batches are a partition's rows, sorted by task and block."""
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the components of each pair (i, j) become one."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j = i[open_], j[open_]
+        to = np.arange(len(root))
+        np.minimum.at(to, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
+
+
+def blockwise(rows: list[tuple]) -> tuple[list[tuple], list[int]]:
+    """The rows of a task once each, by set, and where its blocks begin. Rows are (block, set_id, ...), sorted by block."""
+    seen, kept, begins, block = set(), [], [], None
+    for r in rows:
+        if r[1] in seen:
+            continue
+        seen.add(r[1])
+        if r[0] != block:
+            block = r[0]
+            begins.append(len(kept))
+        kept.append(r)
+    return kept, begins
+
+
+def by_task(columns: tuple[str, ...], solve, names: list[str]):
+    """Run ``solve`` on each task's rows (of ``columns``). Batches are a partition's rows, sorted by task and block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, block, blocks = None, None, []
+        task, rows = None, []
 
-        def out() -> pa.RecordBatch:
-            found = possible_links(blocks, num, den) if blocks else []
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+        def out(found: list[tuple[int, ...]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(len(names))], names)
 
         for b in batches:
-            for t, k, *row in zip(*(b.column(c).to_pylist() for c in ("task", "block", "set_id", "n_shingles", "sketch")), strict=True):
+            done = []
+            for t, *row in zip(b.column("task").to_pylist(), *(b.column(c).to_pylist() for c in columns), strict=True):
                 if t != task:
-                    yield out()
-                    task, block, blocks = t, None, []
-                if k != block:
-                    block = k
-                    blocks.append([])
-                blocks[-1].append(tuple(row))
-        yield out()
+                    done += solve(rows)
+                    task, rows = t, []
+                rows.append(tuple(row))
+            yield out(done)
+        yield out(solve(rows))
 
     return run
 
 
+def possible(num: int, den: int):
+    """solve() of a task of compact bitmaps: a forest (a, b) over all pairs that the trees leave possible."""
+
+    def solve(rows: list[tuple[str, int, int, int, bytes]]) -> list[tuple[int, int]]:
+        rows, begins = blockwise(rows)
+        if len(rows) < 2:
+            return []
+        ids = [r[1] for r in rows]
+        sizes, lows = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
+        cut = [*begins, len(rows)]
+        trees = [forest(np.arange(a, b), sizes[a:b], lows[a:b], [r[4] for r in rows[a:b]]) for a, b in zip(cut, cut[1:])]
+        root = np.arange(len(rows))
+        for i, j in tree_pairs(trees[0], trees[-1], num, den):
+            root = merged(root, i, j)
+        return [(ids[r], ids[i]) for i, r in enumerate(root.tolist()) if r != i]
+
+    return solve
+
+
+def find_links(sets: list[np.ndarray], begins: list[int], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(root, links) of each set: all pairs that link, within one block or between two.
+
+    The trees leave pairs, and each is compared item by item. Sets are sorted arrays of hashes.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    items = np.concatenate(sets)
+    maps = bitmaps(owner, items, n)
+    lows = np.array([s[0] for s in sets], _U).view(np.int64)
+    names, places = np.unique(items, return_inverse=True)
+    own = np.split(places, np.cumsum(sizes)[:-1])
+    mark = np.zeros(len(names), bool)
+    cut = [*begins, n]
+    trees = [forest(np.arange(a, b), sizes[a:b], lows[a:b], maps[a:b]) for a, b in zip(cut, cut[1:])]
+    root, links = np.arange(n), np.zeros(n, np.int64)
+    for left, right in tree_pairs(trees[0], trees[-1], num, den):
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], right[order]
+        for begin, end in zip(*_spans(left), strict=True):
+            i, js = int(left[begin]), right[begin:end]
+            mark[own[i]] = True
+            shared = np.add.reduceat(mark[np.concatenate([own[j] for j in js.tolist()])], np.cumsum(sizes[js]) - sizes[js], dtype=np.int64)
+            mark[own[i]] = False
+            js = js[den * shared >= num * (sizes[i] + sizes[js] - shared)]
+            links[i] += len(js)
+            links[js] += 1
+            root = merged(root, np.full(len(js), i), js)
+    return root, links
+
+
+def linked(n: int, num: int, den: int):
+    """solve() of a task of texts: (root, set, links) of each set that links to another of the task."""
+
+    def solve(rows: list[tuple[str, int, bytes]]) -> list[tuple[int, int, int]]:
+        rows, begins = blockwise(rows)
+        if len(rows) < 2:
+            return []
+        ids, sets = [r[1] for r in rows], []
+        for begin, end in runs([r[2] or b"" for r in rows]):
+            doc, h = shingles([r[2] or b"" for r in rows[begin:end]], n)
+            sets += np.split(h, np.cumsum(np.bincount(doc, minlength=end - begin))[:-1])
+        root, links = find_links(sets, begins, num, den)
+        return [(ids[r], ids[i], k) for i, (r, k) in enumerate(zip(root.tolist(), links.tolist(), strict=True)) if k]
+
+    return solve
+
+
 def _per_print(num: int, den: int) -> int:
     """One item of so many, chosen by hash, is looked up in other sets: twice as many as two linked sets may differ in."""
     return max(1, den // (2 * (den - num)))
@@ -323,6 +476,7 @@ def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def describe(n: int, num: int, den: int, ranges: int):
+    """First pass over all texts: each one's set by name and size, and what tells whether its items occur elsewhere."""
     blob = pa.list_(pa.struct([("range", pa.int32()), ("ids", pa.binary()), ("counts", pa.binary()), ("items", pa.binary())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,21 +485,51 @@ def describe(n: int, num: int, den: int, ranges: int):
             for begin, end in runs(texts):
                 doc, h = shingles(texts[begin:end], n)
                 sizes, ids = _set_ids(doc, h, end - begin)
-                who, keys = meeting_keys(doc, h, num, den)
-                order = np.argsort(who, kind="stable")
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=end - begin))]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[order].view(np.int64)))
                 kept, here, blobs = prints(doc, h, ids, _per_print(num, den), ranges)
                 rows = end - begin
                 sent = pa.array([blobs, *[None] * (rows - 1)], blob)
+                same = [b.column(c).slice(begin, rows) for c in ("doc_id", "digest")]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc_id").slice(begin, rows), pa.array(sizes.astype(np.int64)), pa.array(ids), listed, pa.array(sketches(doc, h, rows), pa.binary()), pa.array(kept.astype(np.int64)), pa.array(here.astype(np.int64)), sent],
-                    ["doc_id", "n_shingles", "set_id", "keys", "sketch", "kept", "here", "prints"],
+                    [*same, pa.array(sizes.astype(np.int64)), pa.array(ids), pa.array(kept.astype(np.int64)), pa.array(here.astype(np.int64)), sent],
+                    ["doc_id", "digest", "n_shingles", "set_id", "kept", "here", "prints"],
                 )
 
     return run
 
 
+ENTRY = "set_id long, n_shingles long, low long, map binary, keys array<long>, raw binary"
+
+
+def enter(n: int, num: int, den: int):
+    """Second pass, over texts of classes that may link: the tree's entries, each with its bitmap, keys and text.
+
+    A row whose text has another set than its class is left out: its id and digest stand for several texts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            texts, wanted = [t or b"" for t in b.column("raw").to_pylist()], b.column("set_id").to_pylist()
+            for begin, end in runs(texts):
+                doc, h = shingles(texts[begin:end], n)
+                sizes, ids = _set_ids(doc, h, end - begin)
+                at = []
+                for k, s in enumerate(ids.tolist()):
+                    if s == wanted[begin + k] and s not in seen:
+                        seen.add(s)
+                        at.append(k)
+                who, keys = meeting_keys(doc, h, num, den)
+                order = np.argsort(who, kind="stable")
+                ends = np.cumsum(np.bincount(who, minlength=end - begin))
+                parts = np.split(keys[order].view(np.int64), ends[:-1])
+                maps, first = bitmaps(doc, h, end - begin), np.cumsum(sizes) - sizes
+                low = [int(h[first[k]].view(np.int64)) for k in at]
+                cols = [pa.array(ids[at]), pa.array(sizes[at].astype(np.int64)), pa.array(low, pa.int64()), pa.array([maps[k] for k in at], pa.binary()), pa.array([parts[k] for k in at], pa.list_(pa.int64())), pa.array([texts[begin + k] for k in at], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["set_id", "n_shingles", "low", "map", "keys", "raw"])
+
+    return run
+
+
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets that share a key, as links to the least of them. Batches hold whole partitions of keys, sorted by key then set.
 
@@ -367,223 +551,100 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1])], ["a", "b"])
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the least node reachable by ``edges`` (a, b), for each node that has one.
-
-    Rounds of large-star and small-star: each node hands its larger, then its smaller, neighbours to the least of them.
-    Their number grows with the logarithm of the longest path; every round is a stored table, and a count tells the end.
-    """
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    state = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
-        low = large.groupBy("b").agg(F.min("a").alias("m"))
-        small = large.join(low, "b")
-        small = small.select("m", F.col("a").alias("x")).union(small.select("m", F.col("b").alias("x"))).where("m <> x").select(F.col("m").alias("a"), F.col("x").alias("b")).distinct()
-        edges = materialize(small, "links")
-        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if now == state:
-            return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        state = now
-
-
-class Tree:
-    """A signature tree over sets: leaves of up to LEAF sets, nodes with the OR of bitmaps, size range and excess.
-
-    A set's excess is by how much its size passes its bitmap's bits. Two sets of nodes x and y share at most
-    ``bits(OR_x & OR_y) + min(excess_x, excess_y)`` items.
-    """
-
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.size = np.array([len(s) for s in sets])
-        self.maps = np.zeros((len(sets), BITS), _U)
-        for i, s in enumerate(sets):
-            bit = _mix(s) & _U(64 * BITS - 1)
-            np.bitwise_or.at(self.maps[i], (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
-        self.excess = self.size - np.bitwise_count(self.maps).sum(axis=1)
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]] = []
-        maps, low, high, excess, step = self.maps, self.size, self.size, self.excess, LEAF
-        while True:
-            cut = np.arange(0, len(maps), step)
-            spans = [(int(c), min(int(c) + step, len(maps))) for c in cut]
-            maps, low, high, excess = np.bitwise_or.reduceat(maps, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(excess, cut)
-            self.levels.append((maps, low, high, excess, spans))
-            if len(maps) == 1:
-                break
-            step = FANOUT
-
-    def node(self, level: int, i: int) -> tuple[np.ndarray, int, int, int]:
-        maps, low, high, excess, _ = self.levels[level]
-        return maps[i], low[i], high[i], excess[i]
-
-
-def find_links(sets: list[np.ndarray], num: int, den: int, root: np.ndarray | None = None) -> np.ndarray:
-    """Roots of ``sets`` (sorted by size for good trees) after joining all pairs that link, by one dual traversal.
-
-    Pairs that already have one root are left out; each other pair is cut off by its bound or compared item by item.
-    """
-    root = np.arange(len(sets)) if root is None else root
-    t = Tree(sets)
-
-    def need(a, b):
-        """Least overlap with which sets of sizes a and b link: ceil(num * (a + b) / (num + den))."""
-        return -(-num * (a + b) // (num + den))
-
-    top = len(t.levels) - 1
-    stack = [(top, 0, 0)]
-    while stack:
-        level, i, j = stack.pop()
-        mi, li, hi, ei = t.node(level, i)
-        mj, lj, hj, ej = t.node(level, j)
-        if den * hi < num * lj or den * hj < num * li:
-            continue
-        if i != j and int(np.bitwise_count(mi & mj).sum()) + min(ei, ej) < need(li, lj):
-            continue
-        (a0, a1), (b0, b1) = t.levels[level][4][i], t.levels[level][4][j]
-        if level:
-            stack += [(level - 1, x, y) for x in range(a0, a1) for y in range(max(b0, x), b1)]
-            continue
-        ra, rb = root[a0:a1], root[b0:b1]
-        open_ = ra[:, None] != rb[None]
-        if not open_.any():
-            continue
-        sa, sb = t.size[a0:a1], t.size[b0:b1]
-        shared = np.bitwise_count(t.maps[a0:a1, None] & t.maps[None, b0:b1]).sum(axis=2) + np.minimum(t.excess[a0:a1, None], t.excess[None, b0:b1])
-        small, large = np.minimum(sa[:, None], sb[None]), np.maximum(sa[:, None], sb[None])
-        open_ &= (shared >= need(sa[:, None], sb[None])) & (den * small >= num * large)
-        for x, y in zip(*np.nonzero(open_), strict=True):
-            p, q = a0 + int(x), b0 + int(y)
-            if p < q and root[p] != root[q]:
-                inter = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                if den * inter >= num * (len(sets[p]) + len(sets[q]) - inter):
-                    lo, hi2 = sorted((root[p], root[q]))
-                    root[root == hi2] = lo
-    return root
-
-
-def link_group(n: int, num: int, den: int):
-    """Links of each task's sets, as (a, b) to the root. Batches are a partition's rows, sorted by task."""
-
-    def solve(rows: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-        ids, sets = [], []
-        for begin, end in runs([r[1] for r in rows]):
-            doc, h = shingles([r[1] for r in rows[begin:end]], n)
-            parts = np.split(h, np.cumsum(np.bincount(doc, minlength=end - begin))[:-1])
-            found = _set_ids(doc, h, end - begin)[1].tolist()
-            for (want, _), got, s in zip(rows[begin:end], found, parts, strict=True):
-                if want == got and len(s):  # a doc_id may stand for several texts
-                    ids.append(got)
-                    sets.append(s)
-        keep = {s: i for i, s in enumerate(ids)}
-        order = sorted(keep.values(), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        if len(order) < 2:
-            return []
-        root = find_links([sets[i] for i in order], num, den)
-        names = [ids[i] for i in order]
-        return [(names[r], names[i]) for i, r in enumerate(root.tolist()) if r != i]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, rows = None, []
-
-        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
-
-        for b in batches:
-            done = []
-            for t, s, raw in zip(b.column("task").to_pylist(), b.column("set_id").to_pylist(), b.column("raw"), strict=True):
-                if t != task:
-                    done += solve(rows)
-                    task, rows = t, []
-                rows.append((s, raw.as_py() or b""))
-            yield out(done)
-        yield out(solve(rows))
-
-    return run
-
-
 def _tasks(members: DataFrame, block: int, num: int, den: int) -> DataFrame:
-    """``members`` (set_id, root, n_shingles and more) once for each task they take part in, with ``task`` and ``block``.
+    """``members`` (set_id, root, n_shingles) once for each task they take part in, with ``task`` and ``block``.
 
-    A group of up to ``block`` sets is one task of one block. A larger one is cut by size, in bands as wide as a link
-    allows, and within a band by hash; each block, and each two blocks whose bands are near enough, are a task.
+    A group of up to ``block`` sets (and their items) is one task of one block. A larger one is cut by size, in bands as
+    wide as a link allows, and within a band by hash; each block, and each two blocks whose bands are near enough, are a
+    task.
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num) + 1e-9))
     members = members.withColumn("band", band)
-    cells = members.groupBy("root", "band").agg(F.ceil(F.count("*") / block).alias("parts"), F.count("*").alias("c"))
-    small = cells.groupBy("root").agg((F.sum("c") <= block).alias("whole"))
+    items = block * (BLOCK_ITEMS // BLOCK)
+    cells = members.groupBy("root", "band").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("items"))
+    cells = cells.withColumn("parts", F.greatest(F.ceil(F.col("c") / block), F.ceil(F.col("items") / items)))
+    small = cells.groupBy("root").agg(((F.sum("c") <= block) & (F.sum("items") <= items)).alias("whole"))
     near = cells.join(small, "root").alias("x").join(cells.select("root", F.col("band").alias("other"), F.col("parts").alias("other_parts")).alias("y"), "root").where("NOT whole AND abs(band - other) <= 1")
     near = near.groupBy("root", "band").agg(F.first("parts").alias("parts"), F.collect_list(F.struct("other", "other_parts")).alias("others"))
     plan = members.join(near, ["root", "band"], "left")
     mine = F.pmod(F.xxhash64("set_id"), F.col("parts"))
     where = lambda b1, p1, b2, p2: F.when((b1 < b2) | ((b1 == b2) & (p1 <= p2)), F.concat_ws(":", F.col("root"), b1, p1, b2, p2)).otherwise(F.concat_ws(":", F.col("root"), b2, p2, b1, p1))
     tasks = F.flatten(F.transform("others", lambda o: F.transform(F.sequence(F.lit(0).cast("long"), o["other_parts"] - 1), lambda p: where(F.col("band"), mine, o["other"], p))))
-    return plan.withColumn("block", F.when(F.col("parts").isNull(), "").otherwise(F.concat_ws(":", "band", mine))).withColumn("task", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string")))))
+    return plan.withColumn("block", F.when(F.col("parts").isNull(), "").otherwise(F.concat_ws(":", "band", mine))).withColumn("task", F.explode(F.coalesce(tasks, F.array(F.col("root").cast("string"))))).select("set_id", "task", "block")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles and component_id, the least doc_id reachable by links; ``den * shared >= num * union`` links.
+def _class() -> list:
+    """How a class is told from its rows: the least id, null last, and of equals the least digest."""
+    return [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("_rep"), F.min("n_shingles").alias("n_shingles")]
 
-    ``n`` and ``num / den`` are the words of a shingle and the similarity; 5 and 0.8 unless a contract says otherwise.
-    Sets are compared exactly (items by 64-bit hashes). Null and empty texts have no shingle and link with nothing: their
-    component is their own doc_id. Equal texts share a component; rows that repeat repeat; a null doc_id takes part,
-    but gives no component its id unless all of it are null. Columns other than doc_id and text are left aside.
 
-    Only ids, keys, sketches, a part of the items at 32 bits and texts of candidate classes are shuffled. A candidate group of more than BLOCK classes is
-    regrouped by sketches; what is still larger is cut by size and hash into blocks, and pairs of blocks whose sizes are
-    near enough become tasks.
+#: Up to so many classes or ids, of at most 40 bytes each, are broadcast to the documents; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Of each row doc_id, n_shingles, component_id, class_id and n_links; sets link if ``den * shared >= num * union``.
+
+    component_id is the least doc_id reachable by links, class_id the least with an equal set, and n_links the number of
+    other classes that the row's links to. ``n`` and ``num / den`` are the words of a shingle and the similarity; 5 and 0.8
+    unless a contract says otherwise. Sets are compared exactly (items by 64-bit hashes). Null and empty texts have no
+    shingle and link with nothing: both ids are their own doc_id. Equal texts share a class; rows that repeat repeat; a
+    null doc_id takes part, but gives no component its id unless all of it are null. An empty table gives no rows. Columns
+    other than doc_id and text are left aside.
+
+    Of all documents ids and a part of the items at 32 bits are shuffled. Texts are read once more by the classes that may
+    link, which are broadcast up to BROADCAST_IDS and joined by a shuffle beyond; only those texts are kept, and sent to
+    tasks. Tasks hold at most two blocks of BLOCK sets or BLOCK_ITEMS items, or of one larger set.
     """
-    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).withColumn("digest", F.xxhash64("raw"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    columns = "doc_id long, n_shingles long, set_id long, keys array<long>, sketch binary, kept long, here long, prints array<struct<range:int,ids:binary,counts:binary,items:binary>>"
-    described = materialize(raw.mapInArrow(describe(n, num, den, 4 * parts), columns), "sets")
-    full = described.where("n_shingles > 0")
-    classes = materialize(full.groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("kept").alias("kept"), F.max("here").alias("here")), "classes")
+    blobs = "prints array<struct<range:int,ids:binary,counts:binary,items:binary>>"
+    described = materialize(raw.mapInArrow(describe(n, num, den, 4 * parts), f"doc_id long, digest long, n_shingles long, set_id long, kept long, here long, {blobs}"), "sets")
+    rows = materialize(described.select("doc_id", "n_shingles", "set_id"), "rows")
+    classes = described.where("n_shingles > 0").groupBy("set_id").agg(*_class(), F.min("kept").alias("kept"), F.max("here").alias("here"))
     sent = described.where("prints IS NOT NULL").select(F.explode("prints").alias("p")).select("p.*")
     shared = sent.repartition(parts, "range").sortWithinPartitions("range").mapInArrow(elsewhere, "set_id long, n long").groupBy("set_id").agg(F.sum("n").alias("n"))
     # of a set that links, at most n_shingles - ceil(num / den * n_shingles) items are in no other set
     own = F.col("kept") - F.col("here") - F.coalesce("n", F.lit(0))
-    meeting = materialize(classes.join(shared, "set_id", "left").where(den * own <= (den - num) * F.col("n_shingles")).select("set_id", "rep"), "meeting")
-    one = full.select("doc_id", "set_id", "keys").join(meeting, "set_id").where(F.col("doc_id").eqNullSafe(F.col("rep")))
-    keyed = one.select("set_id", F.explode("keys").alias("key"))
-    met = keyed.repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(meet, "a long, b long")
-    group = materialize(components(materialize(met.distinct(), "meetings")), "groups")
-
-    sized = group.join(classes, group["node"] == classes["set_id"]).select("set_id", "root", "rep", "n_shingles", "sketch")
-    large = sized.groupBy("root").count().where(F.col("count") > BLOCK).select("root")
-    regrouped = _tasks(sized.join(large, "root", "left_semi"), SKETCH_BLOCK, num, den).select("task", "block", "set_id", "n_shingles", "sketch")
-    regrouped = regrouped.repartition(4 * parts, "task").sortWithinPartitions("task", "block").mapInArrow(possible(num, den), "a long, b long")
-    again = components(materialize(regrouped, "possible")).join(classes, F.col("node") == F.col("set_id")).select("set_id", "root", "rep", "n_shingles")
-    members = materialize(sized.join(large, "root", "left_anti").select("set_id", "root", "rep", "n_shingles").unionByName(again), "members")
-    plan = _tasks(members, BLOCK, num, den).select("rep", "set_id", "task")
-    # a class with a null id has no row to join its text by: found by null-safe equality
-    texts = raw.join(plan, raw["doc_id"].eqNullSafe(plan["rep"])).select("task", "set_id", "raw")
-    links = texts.repartition(4 * parts, "task").sortWithinPartitions("task").mapInArrow(link_group(n, num, den), "a long, b long")
-    root = components(materialize(links, "linked"))
-    labelled = classes.join(root, classes["set_id"] == root["node"], "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
-    least = labelled.groupBy("root").agg(F.min("rep").alias("component_id"))
-    label = labelled.join(least, "root").select("set_id", "component_id")
-    out = described.select("doc_id", "n_shingles", "set_id").join(label, "set_id", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-#: Up to so many ids, 8 bytes each, are broadcast to drop documents; more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+    meeting = classes.join(shared, "set_id", "left").where(den * own <= (den - num) * F.col("n_shingles"))
+    meeting = materialize(meeting.select("set_id", F.col("_rep.doc_id").alias("rep"), F.col("_rep.digest").alias("rep_digest")), "meeting")
+    discard(described)
+    few = meeting.count() <= BROADCAST_IDS
+    texts = raw.join(F.broadcast(meeting) if few else meeting, (F.col("digest") == F.col("rep_digest")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    entries = materialize(texts.select("set_id", "raw").mapInArrow(enter(n, num, den), ENTRY), "entries")
+
+    met = entries.select("set_id", F.explode("keys").alias("key")).repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(meet, "a long, b long")
+    group = materialize(connected(met), "groups")
+    sized = group.join(entries.select("set_id", "n_shingles").distinct(), F.col("node") == F.col("set_id")).select("set_id", "root", "n_shingles")
+    large = sized.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("items")).where((F.col("c") > BLOCK) | (F.col("items") > BLOCK_ITEMS)).select("root")
+    maps = _tasks(sized.join(large, "root", "left_semi"), MAP_BLOCK, num, den).join(entries.select("set_id", "n_shingles", "low", "map"), "set_id")
+    maps = maps.repartition(4 * parts, "task").sortWithinPartitions("task", "block")
+    tied = connected(maps.mapInArrow(by_task(("block", "set_id", "n_shingles", "low", "map"), possible(num, den), ["a", "b"]), "a long, b long"))
+    again = tied.join(sized.drop("root"), F.col("node") == F.col("set_id")).select("set_id", "root", "n_shingles")
+    members = materialize(sized.join(large, "root", "left_anti").unionByName(again), "members")
+
+    work = _tasks(members, BLOCK, num, den).join(entries.select("set_id", "raw"), "set_id")
+    work = work.repartition(4 * parts, "task").sortWithinPartitions("task", "block")
+    found = materialize(work.mapInArrow(by_task(("block", "set_id", "raw"), linked(n, num, den), ["a", "b", "links"]), "a long, b long, links long"), "found")
+    discard(entries, meeting, group, members)
+    root = connected(found.select("a", "b")).withColumnRenamed("node", "set_id").join(found.groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links")), "set_id")
+    classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
+    labelled = classes.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))
+    label = labelled.join(least, "root").select("set_id", "component_id", "class_id", "links")
+    out, any_ = rows.join(label, "set_id", "left"), F.col("n_shingles") > 0
+    return out.select("doc_id", "n_shingles", *[F.when(any_, F.col(c)).otherwise(F.col("doc_id")).alias(c) for c in ("component_id", "class_id")], F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without those that a smaller doc_id represents: of each component of near_duplicates() one id stays.
 
-    Rows of the same doc_id are one document and stay together; rows with a null doc_id stay.
+    Rows of the same doc_id are one document and stay together; rows with a null doc_id stay; an empty table stays empty.
     """
     found = near_duplicates(docs, n, num, den)
     gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone"], "left_anti")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, documents, materialize, prefix_sums
+from geoloom.llm.common import WORD, documents, prefix_sums
+from geoloom.storage import discard, materialize
 
 #: Quality weights lie between these; the ratio bounds how unevenly the exponential keys fill the sampler's cells.
 LOW, HIGH = 0.5, 2.0
-#: Source tables up to so many rows of at most 1 KiB each are broadcast; larger ones are joined by a shuffle.
-BROADCAST_SOURCES = 5_000
+#: Tables of sources up to so many bytes are broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16 << 20
 #: Runs of symbols and digits, which lower a document's quality weight.
 NOISE = r"[#*$%&|<>!0-9]++"
 
@@ -36,6 +37,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max
     return s.select("source", "source_size", F.least(F.col("_cap"), F.col("_settled") * F.col("_w")).alias("target"))
 
 
+def _with_sources(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """``rows`` joined to a stored or small table of one row for each source, null among them."""
+    n, chars = sources.agg(F.count("*"), F.sum(F.octet_length(F.coalesce("source", F.lit(""))))).first()
+    sources = sources.withColumnRenamed("source", "_source")
+    few = n * 128 + (chars or 0) <= BROADCAST_BYTES
+    return rows.join(F.broadcast(sources) if few else sources, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+
+
+def _position() -> Column:
+    """The place of a document's exponential key among its source's, in [0, 1)."""
+    return F.lit(1.0) - F.pow(F.col("u"), F.lit(LOW) / F.col("weight"))
+
+
+def _decided(sizes: DataFrame, weights: tuple[float, ...], max_epochs: int) -> DataFrame:
+    """``sizes`` with source_size, target, _pos, _epochs and _extra, whether the fraction takes the row."""
+    rows = sizes.count()
+    keyed = prefix_sums(sizes.withColumn("_pos", _position()), ["source"], "_pos", ["doc_id", "size", "u"], "size", rows, "_before")
+    j = _with_sources(keyed, source_targets(sizes, weights, max_epochs))
+    j = j.withColumn("_epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    left = F.col("target") - F.col("_epochs") * F.col("source_size")
+    return j.withColumn("_extra", F.when(F.col("size") > 0, (F.col("_before") * 2 + F.col("size") <= left * 2).cast("long")).otherwise(F.lit(0)))
+
+
 def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """Decide how often each document of ``sizes`` (doc_id, source, size, u, weight) goes into the mix.
 
@@ -47,18 +71,8 @@ def mix(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: in
     Adds source_size, target, copies and taken. Null sources form a source of their own; size 0 takes nothing; rows
     that repeat count each time; an empty table gives no rows.
     """
-    rows, n_sources = sizes.count(), sizes.select("source").distinct().count()
-    targets = source_targets(sizes, weights, max_epochs).withColumnRenamed("source", "_source")
-    if n_sources <= BROADCAST_SOURCES:
-        targets = F.broadcast(targets)
-    keyed = sizes.withColumn("_pos", F.lit(1.0) - F.pow(F.col("u"), F.lit(LOW) / F.col("weight")))
-    keyed = prefix_sums(keyed, ["source"], "_pos", ["doc_id", "size", "u"], "size", rows, "_before")
-    j = keyed.join(targets, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    left = F.col("target") - F.col("_epochs") * F.col("source_size")
-    j = j.withColumn("_epochs", epochs)
-    j = j.withColumn("copies", F.col("_epochs") + F.when(F.col("size") > 0, (F.col("_before") * 2 + F.col("size") <= left * 2).cast("long")).otherwise(F.lit(0)))
-    return j.withColumn("taken", F.col("size") * F.col("copies")).drop("_pos", "_before", "_epochs")
+    j = _decided(sizes, weights, max_epochs).withColumn("copies", F.col("_epochs") + F.col("_extra"))
+    return j.withColumn("taken", F.col("size") * F.col("copies")).drop("_pos", "_before", "_epochs", "_extra")
 
 
 def document_digest():
@@ -67,28 +81,49 @@ def document_digest():
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5e0) / F.lit(float(2**52))
 
 
-def document_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words; null text 0), u in (0, 1) from a digest of id and text, and the quality weight.
+def _measures() -> list[Column]:
+    """size (words; null text 0), u in (0, 1) from a digest of id and text, and the quality weight.
 
     The weight falls from HIGH to LOW with the number of runs of symbols or digits for each word.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), document_digest().alias("u"), F.regexp_count(text, F.lit(NOISE)).alias("_noise"))
-    share = F.when(F.col("size") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.col("_noise") / F.col("size"))).otherwise(F.lit(0.0))
-    return d.select("doc_id", "source", "size", "u", (F.lit(LOW) + F.lit(HIGH - LOW) * share).alias("weight"))
+    size = F.regexp_count(text, F.lit(WORD)).cast("long")
+    share = F.when(size > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.regexp_count(text, F.lit(NOISE)) / size)).otherwise(F.lit(0.0))
+    return [size.alias("size"), document_digest().alias("u"), (F.lit(LOW) + F.lit(HIGH - LOW) * share).alias("weight")]
+
+
+def document_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, and each document's size, u and quality weight."""
+    return docs.select("doc_id", "source", *_measures())
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_epochs: int = 3) -> DataFrame:
     """``docs`` as the mix takes them: each row as often as mix() decides, rows taken not at all left out.
 
-    Decisions are joined by id and digest, so that texts that share an id keep their own. Rows that repeat whole share
-    the least of their decisions.
+    What a fraction takes is a source's documents up to one place in the order of their keys, so each source needs its
+    epochs and that place only; they are joined by source, and each row decides for itself: no text is shuffled. Where rows
+    that equal each other in source, id and text stand at that place and only some are taken, those rows are numbered, and
+    only they. Null sources form a source of their own; documents without words come with complete epochs only; an empty
+    table stays empty.
     """
-    decided = mix(materialize(document_sizes(docs), "mixing-sizes"), weights, max_epochs)
-    decided = decided.groupBy(F.col("doc_id").alias("_id"), F.col("u").alias("_digest")).agg(F.min("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.select("doc_id", document_digest().alias("_u"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    rows = rows.join(decided, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_u") == F.col("_digest")))
-    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
+    sizes = materialize(document_sizes(docs), "mixing-sizes")
+    key = ["_pos", "doc_id", "size", "u"]
+    equal = _decided(sizes, weights, max_epochs).groupBy("source", *key).agg(F.count("*").alias("n"), F.sum("_extra").alias("m"), F.first("_epochs").alias("_epochs"))
+    last = F.max(F.when(F.col("m") > 0, F.struct(F.struct(*key).alias("key"), "m", "n")))
+    cuts = materialize(equal.groupBy("source").agg(F.first("_epochs").alias("_epochs"), last.alias("_last")), "mixing-cuts")
+    discard(sizes)
+    rows = docs.select("doc_id", "source", *_measures(), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    rows = _with_sources(rows.withColumn("_pos", _position()), cuts).withColumn("_key", F.struct(*key))
+    border = (F.col("_key") == F.col("_last.key")) & (F.col("_last.m") < F.col("_last.n"))
+    split = not cuts.where("_last.m < _last.n").isEmpty()
+    extra = F.coalesce(((F.col("size") > 0) & (F.col("_key") <= F.col("_last.key")) & ~border).cast("long"), F.lit(0))
+    out = rows.withColumn("_copies", F.col("_epochs") + extra).select("_row", "_copies")
+    if split:
+        equal = materialize(rows.where(border).select("source", "_row", "_epochs", F.col("_last.m").alias("_m"), F.lit(1).cast("long").alias("_one"), F.rand(7).alias("_r")), "mixing-border")
+        equal = prefix_sums(equal, ["source"], "_r", [], "_one", equal.count(), "_rank")
+        more = equal.select("_row", (F.col("_epochs") + (F.col("_rank") < F.col("_m")).cast("long")).alias("_copies"))
+        out = rows.where(~F.coalesce(border, F.lit(False))).withColumn("_copies", F.col("_epochs") + extra).select("_row", "_copies").unionByName(more)
+    return out.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, materialize, prefix_sums
+from geoloom.llm.common import documents, prefix_sums
 from geoloom.llm.tokens import Encoder, default_added
+from geoloom.storage import materialize
 
 CAPACITY, END_ID = 1024, 2
 

@@ -7,8 +7,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, materialize
+from geoloom.llm.common import documents
 from geoloom.llm.spans import bound, digits, matches, pick, total, trees
+from geoloom.storage import materialize
 
 #: The fixed formats, written so that no start is tried twice and no repeat is kept for backtracking.
 EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, let, materialize, words
+from geoloom.llm.common import documents, let, words
+from geoloom.storage import materialize
 
 #: Buckets of the hashed n-grams; the two multinomials have one entry for each.
 BUCKETS = 1 << 20

@@ -7,8 +7,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import documents, materialize
+from geoloom.llm.common import documents
 from geoloom.llm.spans import bound, digits, matches, pick, total, trees
+from geoloom.storage import materialize
 
 #: Runs of 16 or more token characters of which one, at least, is a digit or a capital after the first. An equals sign is
 #: padding at the end of a run only, and no part of it where a token character follows, as between a name and its value.

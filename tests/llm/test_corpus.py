@@ -71,10 +71,26 @@ def test_mixing_reaches_targets(spark, odd):
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= max(r.size for r in rows)
         assert all(r.taken <= 3 * r.size for r in rows)
     mixed = mixing.mixed_documents(odd)
-    assert mixed.columns == odd.columns and mixed.count() > 0
+    copies = sum(r.copies for r in out)
+    assert mixed.columns == odd.columns and mixed.count() == copies
     assert mixing.mix(mixing.document_sizes(odd.limit(0))).count() == 0
 
 
+def test_rows_that_repeat_whole_reach_their_targets(spark):
+    rows = [(i % 40, prose(i % 40, 30 + i % 40), f"s{i % 3}") for i in range(40)] * 3 + [(None, "again and again", "s4")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mixed_documents(docs).collect()
+    targets = {r.source: r.target for r in mixing.source_targets(mixing.document_sizes(docs)).collect()}
+    taken = Counter()
+    for r in out:
+        taken[r.source] += len(words(r.text))
+    assert all(abs(taken[s] - t) <= max(len(words(x[1])) for x in rows if x[2] == s) / 2 + 1 for s, t in targets.items())
+    decided = Counter()
+    for r in mixing.mix(mixing.document_sizes(docs)).collect():
+        decided[r.source, r.doc_id, r.size] += r.copies
+    assert decided - Counter() == Counter((r.source, r.doc_id, len(words(r.text))) for r in out)
+
+
 def test_token_counts_equal_whole_encoding(spark, odd):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -167,28 +183,38 @@ def test_labelled_bad_documents_are_rejected_at_any_size(spark, sf):
     assert kept[0] <= 0.02 * n[0] and kept[1] >= 0.98 * n[1]
 
 
-def components(rows, n, num, den):
+def joined(rows, n, num, den):
+    """doc_id, set size, component, class and number of links, from all pairs."""
+
     def items(t):
         w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
         return frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
 
     sets = [items(t) for _, t in rows]
-    root = list(range(len(rows)))
+    classes = sorted(set(sets), key=lambda s: sorted(s))
+    root = {s: s for s in classes}
+    links = Counter()
 
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
+    def find(s):
+        while root[s] is not s:
+            s = root[s]
+        return s
 
-    for i in range(len(rows)):
-        for j in range(i):
-            a, b = sets[i], sets[j]
-            if a and b and den * len(a & b) >= num * len(a | b):
-                root[find(i)] = find(j)
-    ids = defaultdict(list)
-    for i, (d, _) in enumerate(rows):
-        ids[find(i)].append(d)
-    return [(d, len(sets[i]), min((x for x in ids[find(i)] if x is not None), default=None) if sets[i] else d) for i, (d, _) in enumerate(rows)]
+    for a, b in itertools.combinations([s for s in classes if s], 2):
+        if den * len(a & b) >= num * len(a | b):
+            root[find(a)] = find(b)
+            links[a] += 1
+            links[b] += 1
+    least = lambda ids: min((x for x in ids if x is not None), default=None)
+    whole, own = defaultdict(list), defaultdict(list)
+    for (d, _), s in zip(rows, sets):
+        whole[find(s)].append(d)
+        own[s].append(d)
+    return [(d, len(s), least(whole[find(s)]) if s else d, least(own[s]) if s else d, links[s]) for (d, _), s in zip(rows, sets)]
+
+
+def by_id(rows):
+    return sorted(map(tuple, rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1:]))
 
 
 @pytest.mark.parametrize(("n", "num"), [(3, 90), (5, 80)])
@@ -200,9 +226,10 @@ def test_jaccard_join(spark, odd, n, num):
         for _ in range(r.randrange(0, 4)):
             w[r.randrange(len(w))] = r.choice(VOCABULARY).upper()
         rows.append((1000 + k, " ".join(w)))
+    rows += [(None, prose(700, 50)), (None, prose(701, 50)), (None, prose(700, 50)), (9, prose(702, 50)), (9, prose(702, 49) + " x")]
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), n, num, 100)
-    key = lambda x: (x[0] or 0, x[1])
-    assert sorted((tuple(x) for x in out.collect()), key=key) == sorted(components(rows, n, num, 100), key=key)
+    assert by_id(out.collect()) == by_id(joined(rows, n, num, 100))
+    assert sum(r.n_links > 0 for r in out.collect()) > 20
 
 
 def test_jaccard_join_of_odd_tables(spark, odd):
@@ -213,37 +240,63 @@ def test_jaccard_join_of_odd_tables(spark, odd):
 
 def test_large_groups_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "MAP_BLOCK", 16)
     rows = []
     for k in range(60):
         w = prose(7 + k % 2, 90).split()
         w[k] = f"w{k}"
         rows.append((k, " ".join(w)))
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
-    assert sorted(tuple(x) for x in out.collect()) == sorted(components(rows, 3, 90, 100))
+    assert by_id(out.collect()) == by_id(joined(rows, 3, 90, 100))
 
 
 def test_large_groups_of_many_sizes_are_regrouped_whole(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "MAP_BLOCK", 16)
     w = prose(5, 200).split()
     rows = [(k, " ".join(w[: 80 + 2 * k])) for k in range(40)] + [(100 + k, " ".join([*w[: 80 + 2 * k], f"w{k}"])) for k in range(40)]
     out = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, 100)
-    assert sorted(tuple(x) for x in out.collect()) == sorted(components(rows, 5, 80, 100))
-
+    assert by_id(out.collect()) == by_id(joined(rows, 5, 80, 100))
 
-def test_trees_find_what_all_pairs_find():
-    import numpy as np
 
+@pytest.mark.parametrize("cut", [0, 130])
+def test_trees_find_what_all_pairs_find(cut):
     r = np.random.default_rng(3)
-    base = r.integers(0, 2**62, (6, 40)).astype(np.uint64)
-    sets = sorted((np.unique(np.concatenate([base[i % 6][r.permutation(40)[:36]], r.integers(0, 2**62, i % 4).astype(np.uint64)])) for i in range(90)), key=lambda s: (len(s), int(s[0])))
-    root = np.arange(90)
-    for i in range(90):
-        for j in range(i):
-            k = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
-                lo, hi = sorted((root[i], root[j]))
-                root[root == hi] = lo
-    assert jaccard.find_links(sets, 80, 100).tolist() == root.tolist()
+    sets = []
+    for i in range(60):
+        base = np.unique(r.integers(0, 2**62, 3 + 11 * (i % 20)).astype(np.uint64))
+        sets.append(base)
+        for loss in (0.05, 0.1, 0.2, 0.3):
+            sets.append(np.unique(np.concatenate([base[:1], base[r.random(len(base)) > loss * r.random()], r.integers(0, 2**62, int(len(base) * loss / 3)).astype(np.uint64)])))
+    order = r.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    want, root = np.zeros(len(sets), int), np.arange(len(sets))
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        k = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if (not cut or i < cut <= j) and 100 * k >= 80 * (len(sets[i]) + len(sets[j]) - k):
+            want[i] += 1
+            want[j] += 1
+            root[root == root[j]] = root[i]
+    got, links = jaccard.find_links(sets, [0, cut] if cut else [0], 80, 100)
+    assert links.tolist() == want.tolist() and want.sum() > 100
+    assert len({*zip(got.tolist(), root.tolist())}) == len({*got.tolist()}) == len({*root.tolist()})
+    # bitmaps alone lose no link, and most pairs do not pass them
+    maps = jaccard.bitmaps(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), len(sets))
+    rows = [(int(bool(cut) and i >= cut), i, len(s), int(s[0]), m) for i, (s, m) in enumerate(zip(sets, maps, strict=True))]
+    tied = np.arange(len(sets))
+    for a, b in jaccard.possible(80, 100)(rows):
+        tied[tied == tied[b]] = tied[a]
+    assert all(tied[i] == tied[j] for i in range(len(sets)) for j in range(i) if root[i] == root[j]) and len({*tied.tolist()}) > 30
+
+
+def test_traversal_prunes_nodes():
+    r = np.random.default_rng(5)
+    sets = [np.unique(np.concatenate([b, r.integers(0, 2**62, 2).astype(np.uint64)])) for b in [r.integers(0, 2**62, 200).astype(np.uint64) for _ in range(64)] for _ in range(8)]
+    n = len(sets)
+    sizes, lows = np.array([len(s) for s in sets]), np.array([s[0] for s in sets], np.uint64).view(np.int64)
+    (tree,) = jaccard.forest(np.arange(n), sizes, lows, jaccard.bitmaps(np.repeat(np.arange(n), sizes), np.concatenate(sets), n)).values()
+    pairs = sum(len(i) for i, _ in jaccard.traverse(tree, tree, 80, 100))
+    assert pairs == 64 * 28 and len(tree.levels) == 4
 
 
 def test_marginals_equal_enumeration():
@@ -405,33 +458,6 @@ def test_running_sums_pass_their_blocks(spark):
     assert got == [i * (i + 1) // 2 for i in range(1, 1001)]
 
 
-def test_sketches_keep_every_link():
-    rng = np.random.default_rng(1)
-    sets = []
-    for _ in range(120):
-        base = np.unique(rng.integers(0, 2**63, size=rng.integers(1, 300)).astype(np.uint64))
-        sets.append(base)
-        for loss in (0.05, 0.2, 0.3):
-            sets.append(np.unique(np.concatenate([base[:1], base[rng.random(len(base)) > loss * rng.random()], rng.integers(0, 2**63, size=int(len(base) * loss / 3)).astype(np.uint64)])))
-    made = jaccard.sketches(np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets), len(sets))
-    rows = [(i, len(s), m) for i, (s, m) in enumerate(zip(sets, made, strict=True))]
-    for cut in (0, 250):
-        blocks = [b for b in (rows[:cut], rows[cut:]) if b]
-        root = np.arange(len(sets))
-        for a, b in jaccard.possible_links(blocks, 80, 100):
-            root[root == root[b]] = root[a]
-        assert len(np.unique(root)) > 60  # different bases stay apart
-        linked = 0
-        for i, j in itertools.combinations(range(len(sets)), 2):
-            if cut and not i < cut <= j:
-                continue
-            shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * shared >= 80 * (len(sets[i]) + len(sets[j]) - shared):
-                linked += 1
-                assert root[i] == root[j]
-        assert linked
-
-
 @pytest.mark.parametrize("every", [1, 2, 5])
 def test_items_in_other_sets(every):
     rng = np.random.default_rng(every)
