@@ -599,7 +599,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).withColumn("digest", F.xxhash64("raw"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blobs = "prints array<struct<range:int,ids:binary,counts:binary,items:binary>>"
-    described = materialize(raw.mapInArrow(describe(n, num, den, 4 * parts), f"doc_id long, digest long, n_shingles long, set_id long, kept long, here long, {blobs}"), "sets")
+    described = materialize(raw.mapInArrow(describe(n, num, den, parts), f"doc_id long, digest long, n_shingles long, set_id long, kept long, here long, {blobs}"), "sets")
     rows = materialize(described.select("doc_id", "n_shingles", "set_id"), "rows")
     classes = described.where("n_shingles > 0").groupBy("set_id").agg(*_class(), F.min("kept").alias("kept"), F.max("here").alias("here"))
     sent = described.where("prints IS NOT NULL").select(F.explode("prints").alias("p")).select("p.*")
