@@ -30,6 +30,8 @@ from geoloom.storage import discard, materialize
 RUN, BLOCK, BLOCK_ITEMS, FANOUT = 1 << 21, 256, 1 << 20, 8
 #: Sets in a block of compact bitmaps.
 MAP_BLOCK = 4096
+#: Least number of ranges of items: so many that most sets have few items in one, and rows grow with the items.
+RANGES = 256
 #: Words of bitmaps that are compared at once.
 WORDS = 1 << 20
 #: Parts beyond those that linked sets may differ in, so that empty parts seldom need a meeting place.
@@ -437,7 +439,10 @@ def prints(doc: np.ndarray, h: np.ndarray, ids: np.ndarray, every: int, ranges:
     blobs = []
     for begin, end in zip(*_spans(part), strict=True):
         first, last = _spans(owner[begin:end])
-        blobs.append({"range": int(part[begin]), "ids": owner[begin:end][first].tobytes(), "counts": (last - first).astype(np.uint32).tobytes(), "items": bits[begin:end].tobytes()})
+        n = -(-(last - first) // 255)  # a name is repeated where its items pass what a byte counts
+        counts = np.full(int(n.sum()), 255)
+        counts[np.cumsum(n) - 1] = last - first - 255 * (n - 1)
+        blobs.append({"range": int(part[begin]), "ids": np.repeat(owner[begin:end][first], n).tobytes(), "counts": counts.astype(np.uint8).tobytes(), "items": bits[begin:end].tobytes()})
     return kept, here, blobs
 
 
@@ -452,7 +457,7 @@ def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(set_id, n): chosen items of each set that some other set has too. Batches are a partition's blobs, sorted by range."""
 
     def count(blobs: list[tuple[bytes, bytes, bytes]]) -> pa.RecordBatch:
-        owner = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint32)) for i, c, _ in blobs] or [np.zeros(0, np.int64)])
+        owner = np.concatenate([np.repeat(np.frombuffer(i, np.int64), np.frombuffer(c, np.uint8)) for i, c, _ in blobs] or [np.zeros(0, np.int64)])
         item = np.concatenate([np.frombuffer(x, np.uint32) for _, _, x in blobs] or [np.zeros(0, np.uint32)])
         order = np.lexsort((owner, item))
         owner, item = owner[order], item[order]
@@ -599,7 +604,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     raw = docs.select("doc_id", F.col("text").cast("binary").alias("raw")).withColumn("digest", F.xxhash64("raw"))
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blobs = "prints array<struct<range:int,ids:binary,counts:binary,items:binary>>"
-    described = materialize(raw.mapInArrow(describe(n, num, den, parts), f"doc_id long, digest long, n_shingles long, set_id long, kept long, here long, {blobs}"), "sets")
+    described = materialize(raw.mapInArrow(describe(n, num, den, max(RANGES, 4 * parts)), f"doc_id long, digest long, n_shingles long, set_id long, kept long, here long, {blobs}"), "sets")
     rows = materialize(described.select("doc_id", "n_shingles", "set_id"), "rows")
     classes = described.where("n_shingles > 0").groupBy("set_id").agg(*_class(), F.min("kept").alias("kept"), F.max("here").alias("here"))
     sent = described.where("prints IS NOT NULL").select(F.explode("prints").alias("p")).select("p.*")

@@ -105,7 +105,7 @@ class Model:
     def marginals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         owner, start, end, rows, begin, word = features(texts)
         lengths = np.bincount(owner, minlength=len(texts))
-        gamma, _ = forward_backward(self.scores(rows, begin, self.entries(word)), *chains(lengths[lengths > 0]), self.trans)
+        gamma, _ = forward_backward(self.scores(rows, begin, self.entries(word)), lengths[lengths > 0], self.trans)
         return owner, start, end, gamma
 
 
@@ -137,7 +137,7 @@ def train(texts: list[str], langs: list[str], epochs: int = 4, batch: int = 64,
             entry, y = model.entries(word), gold[i : i + batch][owner]
             lengths = np.bincount(owner)
             starts, lens = chains(lengths[lengths > 0], 64)
-            gamma, expected = forward_backward(model.scores(rows, begin, entry), starts, lens, model.trans, counts=True)
+            gamma, expected = forward_backward(model.scores(rows, begin, entry), lens, model.trans, counts=True)
             g = -gamma
             g[np.arange(len(y)), y] += 1
             inside = np.ones(len(y), bool)

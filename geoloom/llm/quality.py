@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents
-from geoloom.llm.crf import Adam, chains, forward_backward
+from geoloom.llm.crf import Adam, forward_backward
 
 #: Training takes at most so many labelled documents, by hash, of at most so many characters.
 TRAIN_DOCS, TRAIN_CHARS = 4_000, 50_000
@@ -109,14 +109,14 @@ class Model:
         self.weights, self.trans = np.zeros(3 * _OWN, np.float32), np.zeros((2, 2), np.float32)
         self.slope, self.bias = 1.0, 0.0
 
-    def marginals(self, f: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    def marginals(self, f: np.ndarray, lengths: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
         s = f @ self.weights
-        return forward_backward(np.stack([np.zeros_like(s), s], axis=1), starts, lengths, self.trans, counts)
+        return forward_backward(np.stack([np.zeros_like(s), s], axis=1), lengths, self.trans, counts)
 
     def means(self, texts: list[str]) -> np.ndarray:
         """Mean marginal of good lines, each line with its length and one more as weight."""
         per_text, size, f = line_features(texts)
-        gamma, _ = self.marginals(f, *chains(per_text))
+        gamma, _ = self.marginals(f, per_text)
         owner = np.repeat(np.arange(len(texts)), per_text)
         return np.bincount(owner, weights=gamma[:, 1] * (size + 1)) / np.bincount(owner, weights=size + 1.0)
 
@@ -155,16 +155,15 @@ def train(texts: list[str], labels: list[int], rounds: int = 60) -> Model:
     # features of a run at a time, as the characters of all texts at once would take too much of the driver's memory
     found = [(x[0], x[2]) for x in map(line_features, model.runs(texts))]
     per_text, f = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    starts, lengths = chains(per_text)
     line_y = np.repeat(y, per_text)
     weight = np.repeat(1 / per_text, per_text)[:, None]
     inside = np.ones(len(line_y), bool)
-    inside[starts] = False
+    inside[np.cumsum(per_text) - per_text] = False
     j = np.flatnonzero(inside)
     pairs = np.bincount(line_y[j - 1] * 2 + line_y[j], minlength=4).reshape(2, 2)
     opt = Adam([model.weights, model.trans], 0.2)
     for _ in range(rounds):
-        gamma, expected = model.marginals(f, starts, lengths, counts=True)
+        gamma, expected = model.marginals(f, per_text, counts=True)
         g = (line_y - gamma[:, 1])[:, None] * weight
         opt.step([((f * g).sum(axis=0) / len(texts) - 1e-4 * model.weights).astype(np.float32), ((pairs - expected) / max(1, len(j)) - 1e-2 * model.trans).astype(np.float32)])
     m = np.clip(np.concatenate([model.means(r) for r in model.runs(texts)]), 1e-6, 1 - 1e-6)
@@ -194,7 +193,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, own, limit: int = TRAIN_
     Only the chosen ids, a bounded number, are broadcast to the documents.
     """
     ids = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").where(own).groupBy("doc_id").agg(F.max("quality").alias("_label"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).withColumnRenamed("doc_id", "_id")
+    # a margin of ids, as some of their texts are null or longer than ``chars``
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * limit).withColumnRenamed("doc_id", "_id")
     rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_label").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(limit).collect()
     return [r[1] for r in rows], [int(r[2]) for r in rows]
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 from collections.abc import Iterator
 from functools import partial
 
@@ -15,11 +16,18 @@ from pyspark.sql import functions as F
 from geoloom.llm.common import documents
 
 
+#: A run of white space of so many characters is more than the pattern's matcher has stack for.
+LONG_SPACE = 1 << 15
+_SPACES = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 class Encoder:
     """text -> ids as little-endian unsigned 32-bit integers, by a byte-level BPE rank file; none are put around the text.
 
     With ``added`` (literal -> id) texts are split at those literals first, each of which is one token. The ids then equal
-    those that the ``tokenizers`` file of the same vocabulary gives as it is loaded, which tests hold it against.
+    those that the ``tokenizers`` file of the same vocabulary gives as it is loaded, which tests hold it against. Inside
+    a white-space run of LONG_SPACE or more, whose last character may go with what follows, all but that one are
+    encoded by themselves: the pattern makes them one piece.
     """
 
     def __init__(self, path: str, added: dict[str, int] | None = None) -> None:
@@ -30,6 +38,7 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.added = dict(added or {})
         encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks={k: v for k, v in ranks.items() if v not in self.added.values()}, special_tokens=self.added)
+        self.single = encoding._encode_single_piece
         self.plain, self.split = encoding.encode_ordinary, partial(encoding.encode, allowed_special="all")
         #: Bytes of each token.
         self.lengths = np.zeros(max(*ranks.values(), *self.added.values()) + 1, np.int64)
@@ -39,8 +48,20 @@ class Encoder:
             self.lengths[i] = len(literal.encode())
 
     def __call__(self, text: str) -> np.ndarray:
+        parts, at = [], 0
+        for m in _SPACES.finditer(text) if len(text) >= LONG_SPACE else ():
+            if m.end() - m.start() >= LONG_SPACE:
+                stop = m.end() - (m.end() < len(text) and not text.startswith(tuple(self.added), m.end()))
+                parts += [self._short(text[at : m.start()]), self._piece(text[m.start() : stop])]
+                at = stop
+        return np.concatenate([*parts, self._short(text[at:])])
+
+    def _short(self, text: str) -> np.ndarray:
         return np.array((self.split if any(x in text for x in self.added) else self.plain)(text), "<u4")
 
+    def _piece(self, text: str) -> np.ndarray:
+        return np.array(self.single(text.encode()), "<u4")
+
 
 def added_tokens(path: str) -> dict[str, int]:
     """The added tokens of a ``tokenizers`` file, all of which must be plain literals: matched anywhere, as they stand."""

@@ -107,6 +107,40 @@ def test_token_counts_equal_whole_encoding(spark, odd):
     assert tokens.count_tokens(odd.limit(0)).count() == 0
 
 
+def test_long_runs_encode(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), tokens.default_added())
+    n = tokens.LONG_SPACE
+    texts = [" " * 2_000_000, "\n" * 2_000_000, "a" + " " * n + "b", "a" + "\n" * n + "b", "\t" * n + "<|endoftext|>" + " " * (n + 1) + "\nx", "x\u2003" * 9 + "\u3000" * n + "é", "\x1c" * n + " a"]
+    for t in texts:
+        assert encode(t).tolist() == tk.encode(t, add_special_tokens=False).ids
+
+
+def test_sections_of_documents(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {(r.doc_id, r.section, r.start, r.end, r.n_tokens, r.n_crossing) for r in tokens.count_tokens(odd).collect()}
+    want = set()
+    for i, t, _, _ in ODD:
+        t = t or ""
+        cuts = [0, *[m.end() for m in re.finditer(r"\n+", t) if m.end() < len(t)], len(t)]
+        spans = list(zip(cuts, cuts[1:]))
+        size = [0] * len(spans)
+        crossing = [0] * len(spans)
+        for a, b in tk.encode(t, add_special_tokens=False).offsets:
+            share = [len(t[max(a, s) : min(b, e)].encode()) if min(b, e) > max(a, s) else 0 for s, e in spans]
+            k = share.index(max(share))
+            size[k] += 1
+            crossing[k] += sum(x > 0 for x in share) > 1
+        want |= {(i, k, s, e, size[k], crossing[k]) for k, (s, e) in enumerate(spans)}
+    assert got == want
+
+
 def test_added_tokens_are_one_token(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -306,7 +340,7 @@ def test_marginals_equal_enumeration():
 
     r = np.random.default_rng(1)
     scores, trans, lengths = r.normal(size=(7, 3)), r.normal(size=(3, 3)), np.array([4, 0, 3])
-    gamma, expected = crf.forward_backward(scores, *crf.chains(lengths), trans, counts=True)
+    gamma, expected = crf.forward_backward(scores, lengths, trans, counts=True)
     want, pairs = np.zeros((7, 3)), np.zeros((3, 3))
     for start, n in ((0, 4), (4, 3)):
         paths = list(itertools.product(range(3), repeat=n))
@@ -317,6 +351,18 @@ def test_marginals_equal_enumeration():
             for a, b in zip(q, q[1:]):
                 pairs[a, b] += x
     assert np.allclose(gamma, want) and np.allclose(expected, pairs)
+    for piece in (1, 2, 3):
+        gamma, expected = crf.forward_backward(scores, lengths, trans, counts=True, piece=piece)
+        assert np.allclose(gamma, want) and np.allclose(expected, pairs)
+
+
+def test_long_chains_are_not_cut():
+    r = np.random.default_rng(2)
+    lengths = np.array([10_000, 1, 0, 2048, 2049, 3])
+    scores, trans = r.normal(size=(lengths.sum(), 4)).astype(np.float32), (2 * np.eye(4) + r.normal(size=(4, 4))).astype(np.float32)
+    whole = crf.forward_backward(scores, lengths, trans, counts=True, piece=10_000)
+    pieces = crf.forward_backward(scores, lengths, trans, counts=True)
+    assert np.allclose(whole[0], pieces[0], atol=1e-5) and np.allclose(whole[1], pieces[1], rtol=1e-4)
 
 
 def test_language_of_words(spark, odd):
@@ -453,6 +499,67 @@ def test_media_resynchronises_and_verifies():
     assert media.parse_mpeg(b"")["duration"] == 0
 
 
+def test_any_bytes_parse():
+    r = random.Random(9)
+    data = media.write_mpeg(media.pad64(b"y" * 3000))
+    for n in range(0, len(data), 37):
+        media.parse_mpeg(data[:n])
+    for _ in range(300):
+        noise = bytes(r.choice([255, 251, 0x90, 0x40, r.randrange(256)]) for _ in range(r.randrange(2000)))
+        for head in (b"", b"ID3\x03\0\0\x7f\x7f\x7f\x7f", b"ID3\x02\0\0\0\0\0\x20", b"ID3\x04\0\x50\0\0\0\x30"):
+            p = media.parse_mpeg(head + noise)
+            assert p["skipped"] <= len(head + noise) and media.read_payload(head + noise, p) == b""
+
+
+def frames(head, n=3, crc=None):
+    """``n`` frames of silence below ``head``, with the checksum ``crc`` if protected."""
+    size = media.frame_header(head, 0)[0]
+    body = b"" if crc is None else crc.to_bytes(2, "big")
+    return (head + body + bytes(size - 4 - len(body))) * n
+
+
+@pytest.mark.parametrize(("head", "bits"), [(b"\xff\xfe\x44\x00", 256), (b"\xff\xfe\x44\xc0", 128), (b"\xff\xfe\x44\x50", 160), (b"\xff\xfc\xa4\x00", 2 * (44 + 36 + 8)), (b"\xff\xfc\x14\xc0", 26), (b"\xff\xf4\x84\xc0", 75)])
+def test_checksums_of_all_layers(head, bits):
+    data = frames(head)
+    assert media.checked_bits(data, 0) == bits
+    c = 0xFFFF
+    for i in range(16 + bits):  # bit by bit, header first, then the silent allocation
+        bit = head[2 + i // 8] >> (7 - i % 8) & 1 if i < 16 else 0
+        c = ((c << 1) ^ (0x8005 if (c >> 15) ^ bit else 0)) & 0xFFFF
+    p = media.parse_mpeg(frames(head, crc=c))
+    assert (len(p["offsets"]), p["checked"], p["bad"]) == (3, 3, 0)
+    assert media.parse_mpeg(frames(head, crc=c ^ 1))["bad"] == 3
+
+
+def test_tags_and_tables_of_foreign_streams(spark):
+    frame = b"\xff\xfb\x90\x00" + bytes(413)
+    big = b"TIT2" + (200).to_bytes(4, "big") + b"\0\0\0" + b"n" * 199
+    tag = b"ID3\x03\0\0\0\0" + bytes((len(big) >> 7, len(big) & 127)) + big
+    vbri = frame[:36] + b"VBRI" + b"\0\1\0\0\0\x4b" + (999).to_bytes(4, "big") + (2).to_bytes(4, "big") + b"\0\2\0\x03\0\2\0\1" + b"\0\5\0\7"
+    xing = frame[:36] + b"Xing" + (1).to_bytes(4, "big") + (2).to_bytes(4, "big")
+    rows = [(1, tag + vbri.ljust(417, b"\0") + frame * 2), (2, xing.ljust(417, b"\0") + frame * 2), (3, None), (4, b"")]
+    df = spark.createDataFrame([(*r, 7) for r in rows], "id int, `a.b` binary, tags int")
+    out = {r.id: r for r in media.index_media(df, "a.b").collect()}
+    assert out[1].tags == {"TIT2": "n" * 199} and out[1].vbr.asDict() == {"frames": 2, "bytes": 999, "toc": [15, 21]}
+    assert out[2].vbr.asDict() == {"frames": 2, "bytes": None, "toc": []} and out[2].offsets == [417, 834]
+    assert (out[1].seconds_num, out[1].seconds_den) == (Fraction(2304, 44100).numerator, Fraction(2304, 44100).denominator)
+    assert [(out[i].offsets, out[i].seconds_num, out[i].vbr, out[i].skipped) for i in (3, 4)] == [([], 0, None, 0)] * 2
+
+
+def test_media_digests(spark, odd):
+    from geoloom.llm.common import documents  # noqa: F401
+
+    docs = odd.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    out = media.media_digests(media.index_media(media.encode_media(docs, "raw"), payload="payload")).collect()
+    assert len(out) == len(ODD)
+    texts = {i: (t or "").encode() for i, t, _, _ in ODD}
+    for r in out:
+        back = media.pad64(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]))
+        data = media.write_mpeg(back)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest()) and ";bad=0;skipped=0;" in r.feature
+
+
 def test_running_sums_pass_their_blocks(spark):
     got = spark.range(1).select(running_sums(F.sequence(F.lit(1), F.lit(1000))).alias("s")).first().s
     assert got == [i * (i + 1) // 2 for i in range(1, 1001)]
