@@ -14,15 +14,30 @@ from geoloom.storage import materialize
 #: Runs of 16 or more token characters of which one, at least, is a digit or a capital after the first. An equals sign is
 #: padding at the end of a run only, and no part of it where a token character follows, as between a name and its value.
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]?[a-z+/_-]*+[A-Z0-9])[A-Za-z0-9+/_-]{16,}+(?:={1,2}(?![A-Za-z0-9+/_-]))?"
-#: Frequent parts of words, for the share of a candidate that a dictionary covers.
-PARTS = "tion|ment|ness|able|ible|ing|the|and|for|with|that|this|from|have|ent|ion|ter|her|ein|sch|ich|der|die|und|que|ado|con|est|les|des|eau|aux|oun|and|ver|pro|com|int|ate|ous|ell|ble|rea|sta|str"
+#: Words of so many letters make the dictionary, so many of the most frequent.
+WORD_LENGTHS, WORDS = (3, 12), 400
+#: Words that names in code and paths are made of, which running text may lack.
+CODE_WORDS = "access account admin api app auth aws base build bucket client code conf config core data database date default doc example file git hash home http id image index input key lib local login main name node number output page part password path private project public secret server service session source src static string stripe system temp test token tool type url user util value version web"
 #: Labelled findings the forest learns from, and the share of its votes that a secret needs.
 LABELLED, VOTES = 1_200, 0.5
 FEATURES = ("length", "digit_share", "upper_share", "transition_share", "covered", "distinct", "hex", "prefixed", "named", "assigned", "quoted", "digest_named", "test_path")
 
 
-def candidate_features(c: Column, path: Column) -> list[Column]:
-    """Length, character transitions, dictionary coverage, path and neighbouring words, in the order of FEATURES."""
+def dictionary(docs: DataFrame, most: int = WORDS) -> list[str]:
+    """The ``most`` frequent lower-case words over all texts, and CODE_WORDS. Null and empty texts have none."""
+    low, high = WORD_LENGTHS
+    found = docs.select(F.explode(F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(rf"(?<![A-Za-z])[a-z]{{{low},{high}}}+(?![A-Za-z])"), F.lit(0))).alias("w"))
+    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(most)
+    return sorted({r[0] for r in top.select("w").collect()} | set(CODE_WORDS.split()))
+
+
+def _covering(words: list[str]) -> str:
+    """A pattern that prefers the longest word."""
+    return "|".join(sorted(words, key=lambda w: (-len(w), w)))
+
+
+def candidate_features(c: Column, path: Column, parts: str) -> list[Column]:
+    """Length, character transitions, coverage by the words of ``parts``, path and neighbouring words, as FEATURES lists them."""
     x, before = c["text"], F.lower(c["before"])
     n = F.length(x)
     cols = [
@@ -30,7 +45,7 @@ def candidate_features(c: Column, path: Column) -> list[Column]:
         F.regexp_count(x, F.lit("[0-9]")) / n,
         F.regexp_count(x, F.lit("[A-Z]")) / n,
         F.regexp_count(x, F.lit("[a-z](?=[^a-z])|[A-Z](?=[^A-Z])|[0-9](?=[^0-9])")) / n,
-        F.length(F.array_join(F.regexp_extract_all(F.lower(x), F.lit(PARTS), F.lit(0)), "")) / n,
+        F.length(F.array_join(F.regexp_extract_all(F.lower(x), F.lit(parts), F.lit(0)), "")) / n,
         F.size(F.array_distinct(F.split(x, ""))),
         x.rlike("^[0-9a-f]+$|^[0-9A-F]+$"),
         x.rlike("^(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[abp]-|eyJ|AIza|glpat-)"),
@@ -43,10 +58,11 @@ def candidate_features(c: Column, path: Column) -> list[Column]:
     return [F.coalesce(y.cast("double"), F.lit(0.0)) for y in cols]
 
 
-def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
+def labelled(spark: SparkSession, words: list[str], rows: int = LABELLED) -> DataFrame:
     """(text, path, label): findings by rule. True ones are hex or mixed tokens that are named or have a known prefix.
 
-    False ones are digests and identifiers, long words, paths and placeholder values, also in named places.
+    False ones are digests and identifiers, names and paths made of ``words``, and placeholder values, also in named
+    places.
     """
     d = spark.range(0, rows, 1, 1).select("id", F.pmod("id", F.lit(2)).cast("int").alias("label"))
     key = lambda k: F.xxhash64("id", F.lit(k))
@@ -59,7 +75,9 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
     known = F.when(F.pmod(key(45), F.lit(3)) == 0, F.concat(pick(["AKIA", "ASIA"], key(46)), F.upper(F.substring(sha, 1, 16)))).otherwise(known)
     value = F.when(F.pmod(key(47), F.lit(4)) == 0, known).otherwise(value)
     true = F.when(F.pmod(key(4), F.lit(4)) == 0, F.concat(pick(["use ", "key ", "= ", "with ", "KEY=", "id:", "?q="], key(5)), known)).otherwise(F.concat(named, value))
-    word = F.concat(*[pick(["Tion", "ing", "and", "the", "Rea", "ment", "ous", "ver", "able", "sch"], key(10 + i)) for i in range(6)])
+    some = [w for w in words if 3 <= len(w) <= 8] or CODE_WORDS.split()
+    joint = pick(["", "_", "/", "-"], key(52))
+    word = F.concat_ws("", F.initcap(pick(some, key(10))), joint, pick(some, key(11)), joint, F.initcap(pick(some, key(12))), joint, pick(some, key(13)), F.when(F.pmod(key(53), F.lit(2)) == 0, F.concat(joint, F.initcap(pick(some, key(14))))))
     false = F.element_at(
         F.array(
             F.concat(pick(["commit ", "sha1 ", "md5: ", "checksum ", "revision ", "etag: ", "build ", "commit=", "sha1=", "md5:", "?hash=", "etag="], key(6)), F.element_at(F.array(hexed, sha), (F.pmod(key(7), F.lit(2)) + 1).cast("int"))),
@@ -77,8 +95,8 @@ def labelled(spark: SparkSession, rows: int = LABELLED) -> DataFrame:
 
 
 class Forest:
-    def __init__(self, description: str) -> None:
-        self.description = description
+    def __init__(self, description: str, parts: str) -> None:
+        self.description, self.parts = description, parts
 
     def score(self, values: list[Column]) -> Column:
         """The share of the trees that vote for a secret."""
@@ -89,15 +107,17 @@ class Forest:
 _FORESTS: dict[tuple, Forest] = {}
 
 
-def fit(spark: SparkSession, rows: int = LABELLED) -> Forest:
-    """Train on the labelled findings, once in an application."""
-    key = (spark.sparkContext.applicationId, rows)
+def fit(spark: SparkSession, docs: DataFrame | None = None, rows: int = LABELLED) -> Forest:
+    """Train on the labelled findings, with a dictionary of ``docs``, once in an application for each dictionary."""
+    words = dictionary(docs) if docs is not None else CODE_WORDS.split()
+    key = (spark.sparkContext.applicationId, rows, tuple(words))
     if key not in _FORESTS:
-        d = labelled(spark, rows).select("id", "label", "path", F.explode(matches(F.col("text"), CANDIDATE, over=True)).alias("c"))
-        d = d.select("id", "label", *[x.alias(n) for n, x in zip(FEATURES, candidate_features(F.col("c"), F.col("path")), strict=True)])
+        parts = _covering(words)
+        d = labelled(spark, words, rows).select("id", "label", "path", F.explode(matches(F.col("text"), CANDIDATE, over=True)).alias("c"))
+        d = d.select("id", "label", *[x.alias(n) for n, x in zip(FEATURES, candidate_features(F.col("c"), F.col("path"), parts), strict=True)])
         d = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(materialize(d.coalesce(1), "secret-findings").coalesce(1).sortWithinPartitions("id"))
         model = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=20, maxDepth=6, seed=7, featureSubsetStrategy="sqrt").fit(d)
-        _FORESTS[key] = Forest(model.toDebugString)
+        _FORESTS[key] = Forest(model.toDebugString, parts)
     return _FORESTS[key]
 
 
@@ -107,9 +127,10 @@ def find_secrets(docs: DataFrame, forest: Forest, path: str = "source", votes: f
     Null and empty texts have none; a null path counts as empty; rows that repeat repeat. Scoring happens within a row.
     """
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("_text"), F.coalesce(F.col(path), F.lit("")).alias("_path"))
-    scored = F.transform(matches(F.col("_text"), CANDIDATE, over=True), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.round(bound(candidate_features(c, F.col("_path")), forest.score), 6).alias("score"), F.sha2(c["text"], 256).alias("secret_sha256")))
+    scored = F.transform(matches(F.col("_text"), CANDIDATE, over=True), lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.round(bound(candidate_features(c, F.col("_path"), forest.parts), forest.score), 6).alias("score"), F.sha2(c["text"], 256).alias("secret_sha256")))
     return d.select("doc_id", F.explode(F.filter(scored, lambda c: c["score"] >= votes)).alias("c")).select("doc_id", "c.*")
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find_secrets(documents(spark, sf_dir), fit(spark))
+    docs = documents(spark, sf_dir)
+    return find_secrets(docs, fit(spark, docs))

@@ -421,6 +421,32 @@ def test_personal_data(spark, odd):
     assert pii.redact(odd.limit(0), selector).count() == 0
 
 
+def test_personal_data_in_forms_not_trained_on(spark):
+    d = pii.unseen(spark)
+    found = pii.measured(pii.find_pii(d, pii.fit(spark), "want", "label"))
+    print({k: found[k] for k in sorted(found)})
+    assert set(found) == set(pii.EXTRA) and all(p >= 0.9 and r >= 0.9 for p, r in found.values())
+
+
+def test_secrets_in_forms_not_trained_on(spark):
+    r = random.Random(8)
+    token = lambda n, a="abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789": "".join(r.choice(a) for _ in range(n))
+    word = lambda: r.choice(["customer", "Payment", "report", "Manager", "window", "Handler", "internal", "Factory"])
+    rows = []
+    for _ in range(60):
+        rows += [(f"export SLACK_HOOK_SECRET='{token(32)}'", 1), (f'"client_secret": "{token(40)}",', 1), (f"Bearer {token(44)}", 1), (f"passwd -> {token(24)}", 1)]
+        rows += [(f"class Abstract{word()}{word()}{word()}Bean2 extends", 0), (f"see docs/{word()}/{word()}/{word()}/v2/readme", 0), (f"blob sha256 {token(64, '0123456789abcdef')}", 0), (f"git checkout {token(40, '0123456789abcdef')}", 0), (f"id {r.randrange(10**17, 10**18)}", 0)]
+    d = spark.createDataFrame([(i, t, "app/main") for i, (t, _) in enumerate(rows)], "doc_id long, text string, source string")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    words_ = secrets.dictionary(docs)
+    assert len(words_) >= secrets.WORDS and "token" in words_
+    hit = {x.doc_id for x in secrets.find_secrets(d, secrets.fit(spark, docs)).collect()}
+    good = {i for i, (_, y) in enumerate(rows) if y}
+    precision, recall = len(hit & good) / len(hit), len(hit & good) / len(good)
+    print(precision, recall, Counter(rows[i][0].split()[0] for i in hit ^ good))
+    assert precision >= 0.85 and recall >= 0.85
+
+
 def test_secrets(spark, odd):
     forest = secrets.fit(spark)
     rows = [(i, f'see token = "{hashlib.sha1(str(i).encode()).hexdigest()}" then') for i in range(40)] + [(100 + i, f"commit {hashlib.sha1(str(i).encode()).hexdigest()} by") for i in range(40)]
