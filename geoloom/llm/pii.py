@@ -224,6 +224,8 @@ def find_pii(docs: DataFrame, selector: Selector, *keep: str) -> DataFrame:
         if kind == "email_spelled":
             dotted = F.contains("_text", F.lit("dot")) | F.contains("_text", F.lit("DOT")) | F.contains("_text", F.lit("Dot"))
             found = F.when(dotted, found).otherwise(matches(F.lit(""), pattern))
+        if kind == "birth_date":
+            found = F.when(F.col("_text").rlike(YEAR), found).otherwise(matches(F.lit(""), pattern))
         more.append(F.transform(F.filter(found, selected(k, cue)), shape(len(BASE) + k, kind)))
     counts = [F.size(F.col(f"_b.{k}")).cast("long").alias(f"n_{k}") for k in BASE]
     return d.select(*keep, "_text", *counts, "_base", F.sort_array(F.concat(F.col("_base"), *more)).alias("found"))
