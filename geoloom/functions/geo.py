@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 EARTH, MERCATOR, MAX_LAT = 6371008.8, 6378137.0, 85.0511287798066
 LAT_DEGREE, LON_DEGREE = 110574.0, 111320.0
 COMPASS = ("north", "northeast", "east", "southeast", "south", "southwest", "west", "northwest")
+# Zooms, speeds in metres a second, lengths of a degree.
 #: Largest radius in metres for each zoom, then the zoom beyond.
 ZOOMS, FAR_ZOOM = ((100, 18), (250, 17), (500, 16), (1000, 15), (2500, 14), (5000, 13), (25000, 12), (100000, 10), (500000, 8)), 6
 SPEEDS = {"walk": 1.35, "bike": 4.5, "drive": 11.0}
@@ -107,3 +108,83 @@ def straight_route(lat1: Column, lon1: Column, lat2: Column, lon2: Column, mode:
 
 def weld_key(v: Column, size: int = 2) -> Column:
     return F.floor(v / float(size) + 0.5)
+
+
+def from_grid(gx: Column, gy: Column, west: float, south: float, east: float, north: float, extent: int = 4096) -> tuple[Column, Column]:
+    """Longitude and latitude of a grid column and row."""
+    x0, x1, y0, y1 = merc_x(F.lit(west)), merc_x(F.lit(east)), merc_y(F.lit(south)), merc_y(F.lit(north))
+    return merc_lon(x0 + gx / float(extent) * (x1 - x0)), merc_lat(y1 - gy / float(extent) * (y1 - y0))
+
+
+def grid_scale(west: float, south: float, east: float, north: float, extent: int = 4096) -> tuple[float, float]:
+    """Ground metres of a grid unit on each axis, at the middle latitude."""
+    flat = lambda lat: math.log(math.tan(math.pi / 4 + math.radians(lat) / 2)) * MERCATOR
+    shrink = math.cos(math.radians((south + north) / 2))
+    return math.radians(east - west) * MERCATOR / extent * shrink, (flat(north) - flat(south)) / extent * shrink
+
+
+def grid_distance(dx: Column, dy: Column, scale: tuple[float, float]) -> Column:
+    """Ground metres of a step on the grid."""
+    return F.hypot(dx * scale[0], dy * scale[1])
+
+
+def tile_bounds(z: Column, x: Column, y: Column) -> dict[str, Column]:
+    n, full = F.pow(F.lit(2.0), z), math.pi * MERCATOR
+    lat = lambda row: merc_lat(F.lit(full) - row * (2 * full) / n)
+    return {"west": x / n * 360 - 180, "south": lat(y + 1), "east": (x + 1) / n * 360 - 180, "north": lat(y)}
+
+
+def turn(inbound: Column, outbound: Column) -> Column:
+    """straight, right or left, for arriving in one direction and leaving in another; a half turn is left."""
+    place = lambda w: F.array_position(F.array(*[F.lit(c) for c in COMPASS]), w)
+    eighths = F.pmod(place(outbound) - place(inbound), F.lit(8))
+    return F.when(eighths == 0, "straight").when(eighths < 4, "right").otherwise("left")
+
+
+def normal_box(west: Column, south: Column, east: Column, north: Column) -> dict[str, Column]:
+    """A box within the world, west before east."""
+    within = lambda v, most: F.greatest(F.lit(-most), F.least(F.lit(most), v))
+    w, e = within(west, 180.0), within(east, 180.0)
+    return {"west": F.least(w, e), "south": within(south, 85.05112878), "east": F.greatest(w, e), "north": within(north, 85.05112878)}
+
+
+def box_area(west: Column, south: Column, east: Column, north: Column) -> Column:
+    """Ground square metres, about."""
+    return F.abs((east - west) * F.cos(F.radians((north + south) / 2)) * LON_DEGREE * (north - south) * LAT_DEGREE)
+
+
+def off_line(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """How far a point lies from the line through two others; from the first where both are the same."""
+    long = F.hypot((bx - ax).cast("double"), (by - ay).cast("double"))
+    return F.when(long == 0, F.hypot((px - ax).cast("double"), (py - ay).cast("double"))).otherwise(F.abs((bx - ax) * (ay - py) - (ax - px) * (by - ay)) / long)
+
+
+def simplified(line: list, tolerance: float) -> list:
+    """A line without the points whose triangle with their living neighbours is least, while that is not beyond the
+    square of ``tolerance`` (areas doubled). Ends stay; of equal triangles the first in the line goes first."""
+    import heapq
+
+    n = len(line)
+    if tolerance <= 0 or n <= 2:
+        return list(line)
+    before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+
+    def doubled(i: int) -> float:
+        (ax, ay), (bx, by), (cx, cy) = line[before[i]], line[i], line[after[i]]
+        return abs((bx - ax) * (cy - ay) - (cx - ax) * (by - ay))
+
+    areas = {i: doubled(i) for i in range(1, n - 1)}
+    heap = [(a, i) for i, a in areas.items()]
+    heapq.heapify(heap)
+    while heap and heap[0][0] <= tolerance * tolerance:
+        a, i = heapq.heappop(heap)
+        if areas.get(i) != a:
+            continue
+        del areas[i]
+        p, q = before[i], after[i]
+        after[p], before[q] = q, p
+        for k in (p, q):
+            if k in areas:
+                areas[k] = doubled(k)
+                heapq.heappush(heap, (areas[k], k))
+    return [line[i] for i in range(n) if i in (0, n - 1) or i in areas]

@@ -10,54 +10,98 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DAYS = ("mo", "tu", "we", "th", "fr", "sa", "su")
-SPAN = re.compile(r"(\d{1,2}):(\d{2})\s*-\s*(\d{1,2}):(\d{2})")
+CLOCK = r"([0-9]{1,2}):?([0-9]{2})"
+SPAN = re.compile(rf"{CLOCK}[ \t]*-[ \t]*{CLOCK}")
+NO_HOURS, NO_DAY = "no opening hours recorded", "no hours listed for this day"
 
 
-def _days(selector: str) -> set[int]:
+def days_of(selector: str) -> set[int]:
+    """The weekdays a rule is for; 0 is Monday. Ranges wrap around the week, what is no weekday counts for none."""
     out: set[int] = set()
     for part in selector.split(","):
-        first, _, last = part.strip().partition("-")
-        if first in DAYS and (not last or last in DAYS):
-            a, b = DAYS.index(first), DAYS.index(last or first)
-            out |= {(a + i) % 7 for i in range((b - a) % 7 + 1)}
+        ends = [DAYS.index(d) if d in DAYS else None for d in (x.strip() for x in part.split("-", 1))]
+        if None not in ends:
+            out |= {(ends[0] + i) % 7 for i in range((ends[-1] - ends[0]) % 7 + 1)}
     return out
 
 
-def windows(spec: str, day: int) -> list[tuple[int, int]] | None:
-    """Minutes (from, to) at which the last rule for ``day`` opens; none of it where that rule closes, None without rule.
+def without_remarks(spec: str) -> str:
+    """``spec`` without what stands in parentheses, so that a semicolon there parts no rules."""
+    out, depth = [], 0
+    for c in spec:
+        depth += c == "("
+        if not depth:
+            out.append(c)
+        elif c == ")":
+            depth -= 1
+            out.append(" ")
+    return "".join(out)
 
-    Rules need a selector of weekdays. A window that ends at or before its start runs past midnight.
-    """
+
+def rule_for(spec: str, day: int) -> str | None:
+    """The body of the last rule with a selector that covers ``day``, in lower case."""
     found = None
-    for rule in re.sub(r"\([^)]*\)", "", spec).split(";"):
-        selector, _, rest = rule.strip().partition(" ")
-        if day in _days(selector):
-            found = [] if rest.strip() in ("off", "closed") else [(int(a) * 60 + int(b), int(c) * 60 + int(d)) for a, b, c, d in SPAN.findall(rest)]
-            found = [(a, b if b > a else b + 1440) for a, b in found]
+    for rule in without_remarks(spec.lower()).split(";"):
+        selector, space, body = rule.strip().partition(" ")
+        if space and day in days_of(selector):
+            found = body.strip()
     return found
 
 
+def windows(rule: str | None) -> list[tuple[int, int]]:
+    """Minutes (from, to) at which a rule opens. A window that ends at or before its start runs past midnight."""
+    spans = [(int(a) * 60 + int(b), int(c) * 60 + int(d)) for a, b, c, d in SPAN.findall(rule or "")]
+    return [(a, b if b > a else b + 1440) for a, b in spans]
+
+
+def state(spec: str | None, day: int, minute: int) -> tuple[bool | None, str]:
+    """(open, phrase): None where the rules do not say, and what to tell of it. ``day``: 0 is Monday.
+
+    The night after a window that runs past midnight belongs to it. A rule whose windows cannot be read says nothing.
+    """
+    text = (spec or "").strip()
+    if not text:
+        return None, NO_HOURS
+    if text.lower() == "24/7":
+        return True, "00:00-24:00"
+    if text.lower() in ("off", "closed"):
+        return False, "always closed"
+    rule = rule_for(text, day)
+    if rule is None:
+        return None, NO_DAY
+    if rule in ("off", "closed"):
+        return False, "closed on this day"
+    today, night = windows(rule), [b - 1440 for _, b in windows(rule_for(text, (day - 1) % 7)) if b > 1440]
+    if not today:
+        return None, rule
+    is_open_now = any(a <= minute < b for a, b in today) or any(minute < b for b in night)
+    if len(today) == 1 and not night and today[0][1] <= 1440 and is_open_now:
+        return True, "-".join(f"{m // 60 % 24:02d}:{m % 60:02d}" for m in today[0])
+    single = len(today) == 1 and not night and today[0][1] <= 1440
+    return is_open_now, "open" if is_open_now else "closed" if single else rule
+
+
 def is_open(spec: str | None, day: int, minute: int) -> bool | None:
-    """True, False, or None where the rules do not say. ``day``: 0 is Monday."""
-    s = (spec or "").strip().lower()
-    if s == "24/7":
-        return True
-    if s in ("off", "closed"):
-        return False
-    today, before = windows(s, day), windows(s, (day - 1) % 7)
-    if today is None:
-        return None
-    spill = bool(today) and any(minute < b - 1440 for _, b in before or [])
-    return spill or any(a <= minute < b for a, b in today)
+    return state(spec, day, minute)[0]
 
 
-def open_at(spec: Column, instant: Column, offset_minutes: int) -> Column:
-    """Whether ``spec`` is open at ``instant`` (UTC) on a local clock ``offset_minutes`` from UTC; null if unknown."""
+def _local_minutes(instant: Column, offset_minutes: int) -> Column:
+    """Whole local minutes since a Monday, 1969-12-29."""
+    return F.floor(F.unix_timestamp(instant) / 60).cast("long") + offset_minutes + 3 * 1440
+
+
+def opening(spec: Column, instant: Column, offset_minutes: int) -> Column:
+    """(open, phrase) of ``spec`` at ``instant`` (UTC) on a local clock ``offset_minutes`` from UTC; a null instant gives null."""
 
-    @F.pandas_udf("boolean")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("open boolean, phrase string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for specs, minutes in batches:
-            yield pd.Series([is_open(s, int(m) // 1440 % 7, int(m) % 1440) if pd.notna(m) else None for s, m in zip(specs, minutes, strict=True)], dtype="object")
+            rows = [state(s, int(m) // 1440 % 7, int(m) % 1440) if pd.notna(m) else (None, None) for s, m in zip(specs, minutes, strict=True)]
+            yield pd.DataFrame({"open": pd.Series([r[0] for r in rows], dtype="object"), "phrase": pd.Series([r[1] for r in rows], dtype="object")})
 
-    # whole minutes since a Monday, 1969-12-29
-    return run(spec, F.floor(F.unix_timestamp(instant) / 60).cast("long") + offset_minutes + 3 * 1440)
+    return run(spec, _local_minutes(instant, offset_minutes))
+
+
+def open_at(spec: Column, instant: Column, offset_minutes: int) -> Column:
+    """Whether ``spec`` is open at ``instant``; null if unknown."""
+    return opening(spec, instant, offset_minutes)["open"]

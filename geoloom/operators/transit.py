@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
-from geoloom.functions.text import clock
+from geoloom.functions.text import clock, signed_seconds
 
 
 def stops_within(stops: DataFrame, lat: float, lon: float, radius: float) -> DataFrame:
@@ -50,11 +50,14 @@ def first_last(stop_times: DataFrame) -> DataFrame:
 
 
 def board(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, now: int, top: int = 3) -> DataFrame:
-    """The next ``top`` departures of each stop from minute ``now`` on, equal lines and times once, and how many follow."""
+    """The next ``top`` departures of each stop from minute ``now`` on, equal lines and times once, and how many follow.
+
+    The count is an aggregate of its own, so that the ranking keeps ``top`` rows of a stop in each task before they meet.
+    """
     rows = stop_times.where(F.col("dep") >= now).select("trip_id", "stop_id", "dep").join(trips.join(routes, "route_id").select("trip_id", "label"), "trip_id").select("stop_id", "dep", "label").distinct()
-    w = Window.partitionBy("stop_id").orderBy("dep", "label")
-    rows = rows.withColumn("rank", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("stop_id")))
-    return rows.where(F.col("rank") <= top).select("stop_id", "rank", F.concat_ws(" ", "label", clock(F.col("dep"))).alias("text"), F.greatest(F.lit(0), F.col("n") - top).alias("more"))
+    n = rows.groupBy("stop_id").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("stop_id").orderBy("dep", "label"))).where(F.col("rank") <= top)
+    return rows.join(n, "stop_id").select("stop_id", "rank", F.concat_ws(" ", "label", clock(F.col("dep"))).alias("text"), F.greatest(F.lit(0), F.col("n") - top).alias("more"))
 
 
 def rides(stop_times: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
@@ -66,12 +69,123 @@ def rides(stop_times: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
     return j.groupBy("trip_id", "board", "alight").agg(F.first("x.seq").alias("board_seq"), F.first("x.dep").alias("dep"), F.min("off_seq").alias("alight_seq"))
 
 
+def catchment(stops: DataFrame, lat: float, lon: float, radius: float, cap: int = 8) -> DataFrame:
+    """(id, dist) of the ``cap`` nearest stops within ``radius`` metres of a point; of equally near ones the least ids."""
+    return stops_within(stops, lat, lon, radius).orderBy("dist", "id").limit(cap).select("id", "dist")
+
+
 def shared_lines(served: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """For each route that serves a stop of both catchments, the pair with the least walk, ties by ids."""
-    x = served.join(a.select(F.col("id").alias("stop_id"), F.col("dist").alias("wa")), "stop_id").select("route_id", F.col("stop_id").alias("sa"), "wa")
-    y = served.join(b.select(F.col("id").alias("stop_id"), F.col("dist").alias("wb")), "stop_id").select("route_id", F.col("stop_id").alias("sb"), "wb")
+    """For each route that serves a stop of both catchments, the pair of different stops with the least walk, ties by ids.
+
+    Of each side a route needs its two nearest stops only: the best pair is among those, even where both sides begin with
+    the same stop. So no more than four pairs of a route are made.
+    """
+
+    def two(side: DataFrame, stop: str, walk: str) -> DataFrame:
+        d = served.select("route_id", "stop_id").distinct().join(F.broadcast(side.select(F.col("id").alias("stop_id"), F.col("dist").alias(walk))), "stop_id")
+        d = d.select("route_id", F.col("stop_id").alias(stop), walk)
+        return d.withColumn("_r", F.row_number().over(Window.partitionBy("route_id").orderBy(walk, stop))).where("_r <= 2").drop("_r")
+
     best = F.min(F.struct((F.col("wa") + F.col("wb")).alias("walk"), "sa", "sb")).alias("m")
-    return x.join(y, "route_id").where("sa <> sb").groupBy("route_id").agg(best).select("route_id", "m.*")
+    return two(a, "sa", "wa").join(two(b, "sb", "wb"), "route_id").where("sa <> sb").groupBy("route_id").agg(best).select("route_id", "m.*")
+
+
+def ride_plans(stop_times: DataFrame, trips: DataFrame, services: DataFrame, anchors: DataFrame, now: int, predicted: DataFrame | None = None) -> DataFrame:
+    """Rides of running trips between each route's anchor stops (route_id, sa, sb) that depart at minute ``now`` or later.
+
+    A ride goes from a trip's first row at ``sa`` to its first later row at ``sb``; trips without a time at ``sa`` give
+    none. ``predicted`` (trip_id, stop_id, suffix) tells what realtime says of the departure; cancelled rides are marked,
+    not left out.
+    """
+    running = trips.join(services.select("service_id"), "service_id", "left_semi").join(F.broadcast(anchors), "route_id")
+    rows = stop_times.join(running.select("trip_id", "route_id", "sa", "sb", "walk"), "trip_id")
+    first = rows.where("stop_id = sa").groupBy("trip_id").agg(F.min(F.struct("seq", "dep")).alias("a"))
+    later = rows.where("stop_id = sb").join(first, "trip_id").where("seq > a.seq")
+    ride = later.groupBy("trip_id", "route_id", "sa", "sb", "walk").agg(F.min(F.struct("seq", "dep")).alias("b"), F.first("a").alias("a"))
+    ride = ride.where(F.col("a.dep") >= now).select("route_id", "trip_id", F.col("sa").alias("board"), F.col("sb").alias("alight"), F.col("a.dep").alias("dep"), F.col("b.dep").alias("arrive"), (F.col("b.seq") - F.col("a.seq")).alias("rides"), "walk")
+    if predicted is None:
+        return ride.withColumn("suffix", F.lit(None).cast("string"))
+    return ride.join(predicted.select("trip_id", F.col("stop_id").alias("board"), "suffix"), ["trip_id", "board"], "left")
+
+
+def shown_plans(plans: DataFrame, top: int = 3) -> DataFrame:
+    """The first ``top`` rides by departure that are not cancelled, and in ``more`` how many follow."""
+    alive = plans.where("suffix IS NULL OR suffix <> 'cancelled'")
+    first = alive.orderBy("dep", "route_id", "trip_id").limit(top)
+    n = alive.agg(F.count("*").alias("n"))
+    return first.crossJoin(F.broadcast(n)).withColumn("more", F.greatest(F.lit(0), F.col("n") - top)).drop("n")
+
+
+def plan_text(label: Column, board: Column, walk_to: Column, way_to: Column, dep: Column, suffix: Column, rides: Column, arrive: Column, walk_from: Column, way_from: Column) -> Column:
+    """A ride in words."""
+    alight = F.when(arrive.isNull(), ", alight time not published").otherwise(F.concat(F.lit(", alight "), clock(arrive)))
+    told = F.when(suffix.isNull() | (suffix == ""), "").otherwise(F.concat(F.lit(" "), suffix))
+    many = F.when(rides == 1, " stop").otherwise(" stops")
+    text = [label, F.lit(": "), board, F.lit(" "), walk_to.cast("string"), F.lit("m "), way_to, F.lit(", depart "), clock(dep), told, F.lit(", ride "), rides.cast("string"), many, alight, F.lit(", then "), walk_from.cast("string"), F.lit("m "), way_from, F.lit(" to destination")]
+    return F.concat(*text)
+
+
+def service_state(has_calendar: Column, running: Column) -> Column:
+    """True if services run, False if none do, null without a calendar."""
+    return F.when(has_calendar, running > 0)
+
+
+def all_passed(state: Column, last: Column, now: Column) -> Column:
+    """Whether the latest departure lies before ``now`` on a day with service."""
+    return F.coalesce(state, F.lit(False)) & F.coalesce(last < now, F.lit(False))
+
+
+def service_note(state: Column, date: Column, zone: Column, passed: Column) -> Column:
+    """What a slice's schedule rests on, in sentences."""
+    day = F.concat_ws("-", F.lpad(F.floor(date / 10000).cast("string"), 4, "0"), F.lpad(F.pmod(F.floor(date / 100), F.lit(100)).cast("string"), 2, "0"), F.lpad(F.pmod(date, F.lit(100)).cast("string"), 2, "0"))
+    none = F.lit(None).cast("string")
+    return F.concat_ws(
+        " ",
+        F.lit("Stop distances are straight-line."),
+        F.when(state.isNotNull(), F.concat(F.lit("Schedule from GTFS feed for "), day, F.lit(" in "), zone, F.lit("."))).otherwise("The feed has no service calendar; service window unknown."),
+        F.when(state.isNull(), "Routes cover the whole feed and first/last departures are not shown.").when(~state, "No service runs on this date.").otherwise(none),
+        F.when(zone.isNull(), "The feed states no agency_timezone, so the service day could not be read.").otherwise(none),
+        F.when(passed, "Every scheduled departure for these stops has already run; the next services are another day's.").otherwise(none),
+    )
+
+
+def realtime_note(updates: Column, age_seconds: Column, reason: Column) -> Column:
+    """What a slice's realtime data rests on; ``updates`` is null where no feed answered, then ``reason`` tells why, if one is configured."""
+    n = updates.cast("string")
+    none, got = F.when(reason.isNull(), "All times are scheduled; no real-time feed is configured."), F.concat(F.lit("Real-time: "), n, F.when(updates == 1, " trip prediction").otherwise(" trip predictions"), F.lit(", feed "), age_seconds.cast("string"), F.lit("s old at query time."))
+    empty = F.concat(F.lit("The real-time feed answered but carried no trip updates "), age_seconds.cast("string"), F.lit("s before query time."))
+    tail = F.lit(" A stop without a live entry has no prediction: unknown, not on time.")
+    away = F.concat(F.lit("Real-time feed unavailable ("), reason, F.lit("); all times shown are scheduled."))
+    return F.when(updates.isNull(), F.coalesce(none, away)).when(updates == 0, F.concat(empty, tail)).otherwise(F.concat(got, tail))
+
+
+def matched_updates(updates: DataFrame, stop_times: DataFrame) -> DataFrame:
+    """Realtime stop updates with the scheduled row they speak of, ``seq``: a trip's first row at their stop, else, where they
+    name none, the row of their number (from 1). Updates that find no row go."""
+    rows = stop_times.select("trip_id", "stop_id", "seq", "dep")
+    first = rows.groupBy("trip_id", "stop_id").agg(F.min(F.struct("seq", "dep")).alias("m")).select("trip_id", "stop_id", "m.*")
+    named = updates.where("stop_id IS NOT NULL").join(first, ["trip_id", "stop_id"])
+    placed = rows.withColumn("stop_sequence", F.row_number().over(Window.partitionBy("trip_id").orderBy("seq")))
+    rest = updates.where("stop_id IS NULL AND stop_sequence IS NOT NULL").drop("stop_id").join(placed, ["trip_id", "stop_sequence"])
+    return named.unionByName(rest)
+
+
+def suffix(relationship: Column, delay: Column, time: Column, scheduled: Column) -> Column:
+    """How a departure differs: cancelled where it is skipped, its delay, or its time less the scheduled epoch."""
+    return F.when(relationship == 1, "cancelled").when(delay.isNotNull(), signed_seconds(delay)).when(time.isNotNull() & scheduled.isNotNull(), signed_seconds(time - scheduled))
+
+
+def live_lines(entries: DataFrame, most: int = 3) -> DataFrame:
+    """(stop_id, live): the first ``most`` different entries (stop_id, ord, text) of each stop, in order."""
+    first = entries.groupBy("stop_id", "text").agg(F.min("ord").alias("ord"))
+    ranked = first.withColumn("_r", F.row_number().over(Window.partitionBy("stop_id").orderBy("ord", "text"))).where(F.col("_r") <= most)
+    return ranked.groupBy("stop_id").agg(F.array_sort(F.collect_list(F.struct("_r", "text"))).alias("x")).select("stop_id", F.transform("x", lambda t: t["text"]).alias("live"))
+
+
+def prune_order(stops: DataFrame) -> DataFrame:
+    """Add ``prune``, the order in which stops of a slice (id, lines, dist) would go, and ``shown``, that in which they are told."""
+    go, show = Window.orderBy("n_lines", F.desc("dist"), "id"), Window.orderBy("dist", "n_lines", "id")
+    return stops.withColumn("prune", F.row_number().over(go)).withColumn("shown", F.row_number().over(show))
 
 
 def latest_updates(updates: DataFrame) -> DataFrame:

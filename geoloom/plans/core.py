@@ -161,19 +161,6 @@ def transit_slice(spark, sf):
     return transit.slice_nodes(ad.stops(spark, sf), ad.stop_times(spark, sf), ad.trips(spark, sf), ad.routes(spark, sf), LAT, LON, 400.0)
 
 
-@query("q_ride_pairs", "WITH a AS (SELECT trip_id, stop_id AS board, min(seq) AS board_seq, arg_min(dep, seq) AS x FROM stop_times WHERE stop_id % 10 = 1 GROUP BY 1, 2) SELECT a.trip_id, board, s.stop_id AS alight, board_seq, CAST((SELECT dep FROM stop_times t WHERE t.trip_id = a.trip_id AND t.seq = board_seq) AS BIGINT) AS dep, min(s.seq) AS alight_seq FROM a JOIN stop_times s ON s.trip_id = a.trip_id AND s.seq > board_seq AND s.stop_id % 10 = 2 GROUP BY ALL")
-def rides(spark, sf):
-    s = ad.stops(spark, sf)
-    return transit.rides(ad.stop_times(spark, sf), s.where("id % 10 = 1"), s.where("id % 10 = 2"))
-
-
-@query("q_shared_lines", "WITH v AS (SELECT DISTINCT route_id, stop_id FROM stop_times JOIN trips USING (trip_id)), j AS (SELECT x.route_id, x.stop_id AS sa, y.stop_id AS sb, x.stop_id*37%101 + y.stop_id*53%97 AS walk FROM v x JOIN v y ON x.route_id = y.route_id AND x.stop_id <> y.stop_id WHERE x.stop_id % 10 = 3 AND y.stop_id % 10 = 7) SELECT route_id, walk, sa, sb FROM (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY walk, sa, sb) AS r FROM j) WHERE r = 1")
-def shared(spark, sf):
-    served = ad.stop_times(spark, sf).join(ad.trips(spark, sf), "trip_id").select("route_id", "stop_id").distinct()
-    s = ad.stops(spark, sf)
-    return transit.shared_lines(served, s.where("id % 10 = 3").withColumn("dist", F.col("id") * 37 % 101), s.where("id % 10 = 7").withColumn("dist", F.col("id") * 53 % 97))
-
-
 LATEST = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY ts DESC, event_id DESC) AS r FROM updates) WHERE r = 1 AND NOT is_deleted)"
 
 
@@ -262,7 +249,14 @@ def token_estimate(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", text.tokens(F.col("text")).alias("tokens"))
 
 
-@query("q_yaml_quote", r"""SELECT page_id, CASE WHEN regexp_matches(url, '^\s|\s$') OR regexp_matches(url, '[:#\[\]{}&*!|>''"%@`,]') OR regexp_matches(url, '(?i)^(?:true|false|null|yes|no|on|off|~)$') OR regexp_matches(url, '^-?[0-9]+(?:\.[0-9]+)?$') OR url IN ('', '-', '...') THEN '"' || replace(url, '"', '\"') || '"' ELSE url END AS scalar FROM pages""", prelude=False)
+YAML_SQL = (
+    "length(translate({s}, '" + text.INDICATORS.replace("'", "''").replace("{", "{{").replace("}", "}}") + "', '')) < length({s}) OR regexp_matches({s}, '^[ \\t\\n\\r\\f\\v]|[ \\t\\n\\r\\f\\v]$') OR lower({s}) IN ("
+    + ", ".join(f"'{w}'" for w in text.RESERVED)
+    + ") OR regexp_matches(regexp_replace({s}, '^-', ''), '^[0-9]+([.][0-9]+)?$')"
+)
+
+
+@query("q_yaml_quote", f"""SELECT page_id, CASE WHEN {YAML_SQL.format(s="url")} THEN '"' || replace(url, '"', chr(92) || '"') || '"' ELSE url END AS scalar FROM pages""", prelude=False)
 def yaml_quote(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.yaml_scalar(F.col("url")).alias("scalar"))
 
