@@ -7,7 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]++"
@@ -16,28 +15,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def with_arrow(df: DataFrame, value: Column, added: list[tuple[str, str]], make: Callable[[list], list[tuple]]) -> DataFrame:
-    """``df`` and the columns ``added`` (name, type): a tuple of them for each value, made a batch at a time.
-
-    Columns of ``df`` pass through whatever their names are; one of the same name as an added column is replaced.
-    """
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kept = [c for c in df.columns if c not in {n for n, _ in added}]
-    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], value.alias("value"))
-    out = StructType(plain.schema.fields[:-1] + [StructField(f"a{i}", DataType.fromDDL(t)) for i, (_, t) in enumerate(added)])
-    types = [to_arrow_type(f.dataType) for f in out.fields[len(kept) :]]
-
-    def run(batches):
-        for b in batches:
-            rows = make(b.column(len(kept)).to_pylist())
-            made = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], out.names)
-
-    return plain.mapInArrow(run, out).toDF(*kept, *[n for n, _ in added])
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, even where the body's lambdas use it many times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
