@@ -84,7 +84,7 @@ def sun(lat: Column, lon: Column, at: Column) -> dict[str, Column]:
     By the low-precision formulas of the almanac: mean anomaly, ecliptic longitude and obliquity from the days since 2000,
     then the equation of time. Sunrise and sunset are null where the sun does not cross -0.833 degrees.
     """
-    julian = F.unix_micros(at) / 86_400_000_000.0 + 2440587.5
+    julian = F.unix_micros(at.cast("timestamp")) / 86_400_000_000.0 + 2440587.5
     d = julian - 2451545.0
     anomaly, tilt = F.radians(d * 0.98560028 + 357.5291), F.radians(F.lit(23.439) - d * 0.0000004)
     declination = F.asin(F.sin(tilt) * F.sin(F.radians(d * 0.98564736 + 280.459)))

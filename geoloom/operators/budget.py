@@ -130,7 +130,7 @@ def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         cuts = cut_points(near)
         return pd.DataFrame({"graph": n["graph"], "id": n["id"], "in_main": [i in main for i in n["id"].tolist()], "is_cut": [i in cuts for i in n["id"].tolist()]})
 
-    a, b = nodes.select("graph", "id", "kind").groupBy("graph"), edges.select("graph", "from_id", "to_id").groupBy("graph")
+    a, b = nodes.select("graph", "id", "kind").groupBy("graph"), edges.select(F.col("graph").alias("of_graph"), "from_id", "to_id").groupBy("of_graph")
     return a.cogroup(b).applyInPandas(one, "graph long, id long, in_main boolean, is_cut boolean")
 
 
@@ -162,7 +162,7 @@ def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[x.split()[0] for x in EDGE.split(", ")])
 
     a = nodes.select("graph", "id", "kind", "name").groupBy("graph")
-    b = edges.select("graph", "from_id", "to_id", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dist")], "path", "blocked", "crosswalk").groupBy("graph")
+    b = edges.select(F.col("graph").alias("of_graph"), "from_id", "to_id", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dist")], "path", "blocked", "crosswalk").groupBy("of_graph")
     return a.cogroup(b).applyInPandas(one, EDGE)
 
 
@@ -190,8 +190,12 @@ def fit(order: list[int], near: dict[int, set[int]], keep_first: list[int], budg
         cuts = cut_points(near)
         victims = [n for n in reversed(keep_first) if n in near and n not in cuts]
         batch = max(1, math.ceil((cost() - limit) / (NODE_TOKENS + 4 * EDGE_TOKENS) / 4))
+        alive = [n for n in reversed(keep_first) if n in near]
+        tail = set(alive[: max(1, len(alive) // 4)])  # one round takes no node far above the least worth
         dropped = 0
         for n in victims:
+            if dropped and n not in tail:
+                break
             if any(len(near[m]) == 1 for m in near[n]) and len(near) > 2:
                 continue
             if dropped and n in cut_points(near):
@@ -220,7 +224,7 @@ def fitted(nodes: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
         kept = fit(order, near, [r[0] for r in rank], budget)
         return pd.DataFrame({"graph": n["graph"], "id": n["id"], "kept": [i in kept for i in order]})
 
-    a, b = nodes.select("graph", "id", "kind", "name", F.col("worth").cast("double").alias("worth")).groupBy("graph"), edges.select("graph", "from_id", "to_id").groupBy("graph")
+    a, b = nodes.select("graph", "id", "kind", "name", F.col("worth").cast("double").alias("worth")).groupBy("graph"), edges.select(F.col("graph").alias("of_graph"), "from_id", "to_id").groupBy("of_graph")
     return a.cogroup(b).applyInPandas(one, "graph long, id long, kept boolean")
 
 

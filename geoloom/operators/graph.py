@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo
+from geoloom.operators.prefix import prefix_sums
 from geoloom.storage import discard, materialize
 
 
@@ -100,9 +101,15 @@ def omission_ledger(dropped: DataFrame) -> DataFrame:
 
 
 def ceiling(features: DataFrame, most: int) -> DataFrame:
-    """Features, in order within their group, whose predecessors' new nodes stay below ``most``."""
-    w = Window.partitionBy("grp").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    return features.withColumn("before", F.coalesce(F.sum("new_nodes").over(w), F.lit(0))).where(F.col("before") < most)
+    """Features, in order within their group, whose predecessors' new nodes stay below ``most``.
+
+    Sums are taken in cells of the order's range, so that a group of any size is spread over tasks.
+    """
+    rows, low, high = features.agg(F.count("*"), F.min("ord"), F.max("ord")).first()
+    if not rows:
+        return features.withColumn("before", F.lit(0).cast("long"))
+    placed = features.withColumn("_pos", (F.col("ord") - low) / F.lit(float(high - low + 1)))
+    return prefix_sums(placed, ["grp"], "_pos", ["ord"], "new_nodes", rows, "before").drop("_pos").where(F.col("before") < most)
 
 
 def diff(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:

@@ -22,10 +22,25 @@ def slope(raster: DataFrame, width: int, height: int, res: int = 16) -> DataFram
 
 
 def hotspots(cells: DataFrame, group: str, top: int = 5) -> DataFrame:
-    """The ``top`` positive cells of each group by value; none where all values are equal."""
-    w = Window.partitionBy(group)
-    d = cells.where("value > 0").withColumn("_flat", F.min("value").over(w) == F.max("value").over(w))
-    return d.withColumn("rank", F.row_number().over(w.orderBy(F.desc("value"), "ord"))).where(f"NOT _flat AND rank <= {top}").drop("_flat")
+    """The ``top`` positive cells of each group by value; none where all values are equal.
+
+    Ranks beyond ``top`` go in each task before a group's cells meet; extremes are an aggregate of their own.
+    """
+    d = cells.where("value > 0")
+    uneven = d.groupBy(group).agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where("_low < _high").select(group)
+    ranked = d.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("value"), "ord"))).where(F.col("rank") <= top)
+    return ranked.join(uneven, group, "left_semi")
+
+
+def summary(cells: DataFrame, group: str) -> DataFrame:
+    """Largest value of each group, and the mean of its positive ones to one place."""
+    mean = F.floor(F.avg(F.when(F.col("value") > 0, F.col("value"))) * 10 + 0.5) / 10
+    return cells.groupBy(group).agg(F.max("value").alias("most"), mean.alias("mean"), F.count_if(F.col("value") > 0).alias("positive"))
+
+
+def extent(raster: DataFrame) -> DataFrame:
+    """Least and largest sample, and the range between them."""
+    return raster.agg(F.min("v").alias("low"), F.max("v").alias("high"), (F.max("v") - F.min("v")).alias("range"))
 
 
 def subsample(raster: DataFrame, step: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo, text
 from geoloom.operators import graph, heat, transit
+from geoloom.operators.number import numbered
 from geoloom.plans import adapters as ad
 
 QUERIES: dict = {}
@@ -300,7 +301,7 @@ def props(spark, sf):
 @query("q_attr_dedup", "WITH s AS (SELECT p_brand || '|' || p_size AS signature, min(p_partkey) AS first_ord FROM part GROUP BY 1) SELECT signature, first_ord, CAST(row_number() OVER (ORDER BY first_ord) AS INT) AS set_id FROM s", prelude=False)
 def attr_dedup(spark, sf):
     s = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.concat_ws("|", "p_brand", F.col("p_size").cast("string")).alias("signature")).agg(F.min("p_partkey").alias("first_ord"))
-    return s.withColumn("set_id", F.row_number().over(Window.orderBy("first_ord")))
+    return numbered(s, ["first_ord"], "set_id").withColumn("set_id", F.col("set_id").cast("int"))
 
 
 @query("q_delta_encode", "WITH v AS (SELECT t.trip_id, t.seq, s.gx, s.gy, lag(s.gx) OVER w AS px, lag(s.gy) OVER w AS py FROM stop_times t JOIN stops s ON s.id = t.stop_id WINDOW w AS (PARTITION BY trip_id ORDER BY seq)) SELECT trip_id, 'd:' || string_agg(CAST(gx - coalesce(px, 0) AS VARCHAR) || ',' || CAST(gy - coalesce(py, 0) AS VARCHAR), ',' ORDER BY seq) AS path FROM v GROUP BY 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import text
 from geoloom.operators import transit
+from geoloom.operators.number import numbered
 from geoloom.plans import adapters as ad
 from geoloom.plans.core import query
 
@@ -76,7 +77,7 @@ def layers(spark, sf):
 @query("q_string_intern", "WITH s AS (SELECT p_type AS text, min(p_partkey) AS first_ord FROM part GROUP BY 1) SELECT text, CAST(99 + row_number() OVER (ORDER BY first_ord) AS INT) AS string_id FROM s", prelude=False)
 def interned(spark, sf):
     s = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.col("p_type").alias("text")).agg(F.min("p_partkey").alias("first_ord"))
-    return s.select("text", (F.row_number().over(Window.orderBy("first_ord")) + 99).alias("string_id"))
+    return numbered(s, ["first_ord"], "string_id", 100).select("text", F.col("string_id").cast("int").alias("string_id"))
 
 
 @query("q_survival_rank", "SELECT grp, id, CAST(row_number() OVER (PARTITION BY grp ORDER BY tier DESC, score DESC, id) AS INT) AS rank FROM (SELECT c_nationkey AS grp, c_custkey AS id, c_custkey % 3 AS tier, c_acctbal AS score FROM customer)", prelude=False)

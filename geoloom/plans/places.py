@@ -186,10 +186,10 @@ def storeys(spark, sf):
     return d.withColumn("label", text.storey_label(F.col("storey")))
 
 
-@query("q_search", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'steel') OR contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'part 1')", prelude=False)
+@query("q_search", "SELECT p_partkey AS id FROM part WHERE contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'large w') OR contains(lower(p_name || ' ' || p_type || ' ' || p_brand), 'promo brand#1')", prelude=False)
 def search(spark, sf):
     name, tags = F.col("p_name"), F.array("p_type", "p_brand")
-    return spark.read.parquet(f"{sf}/part.parquet").where(ingest.matches_search(name, tags, "Steel") | ingest.matches_search(name, tags, "part 1")).select(F.col("p_partkey").alias("id"))
+    return spark.read.parquet(f"{sf}/part.parquet").where(ingest.matches_search(name, tags, "Large W") | ingest.matches_search(name, tags, "promo Brand#1")).select(F.col("p_partkey").alias("id"))
 
 
 @query("q_clamped", "SELECT c_custkey AS id, greatest(50e0, least(2000e0, coalesce(CASE WHEN c_custkey % 9 > 0 THEN c_acctbal END, 500e0))) AS walk FROM customer", prelude=False)

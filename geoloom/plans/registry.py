@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from geoloom.plans import core, more, places, wire
+from geoloom.plans import context, core, more, places, wire
 
-MODULES = (core, more, wire, places)  # each adds its queries to the tables in core
+MODULES = (core, more, wire, places, context)  # each adds its queries to the tables in core
 
 FLAGSHIP = "q_transit_slice"
 QUERIES = dict(core.QUERIES)
