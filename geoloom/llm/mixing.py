@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from geoloom.llm.common import WORD, documents, prefix_sums
+from geoloom.llm.common import WORD, documents
+from geoloom.operators.prefix import prefix_sums
 from geoloom.storage import discard, materialize
 
 #: Quality weights lie between these; the ratio bounds how unevenly the exponential keys fill the sampler's cells.
