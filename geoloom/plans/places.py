@@ -419,10 +419,12 @@ def tile_bounds(spark, sf):
     return spark.read.parquet(f"{sf}/customer.parquet").select(k.alias("id"), b["west"].alias("west"), b["east"].alias("east"), geo.half_up(b["north"], 6).alias("north"), geo.half_up(b["south"], 6).alias("south"))
 
 
-@query("q_from_grid", "SELECT id, floor(lon*1e6+5e-1)/1e6 AS lon, floor(degrees(atan(sinh((n - gy/4096e0*(n-s)))))*1e6+5e-1)/1e6 AS lat FROM (SELECT *, ln(tan(pi()/4+radians(37.78e0)/2)) AS n, ln(tan(pi()/4+radians(37.77e0)/2)) AS s FROM pois)")
+@query("q_from_grid", "SELECT id, floor(lon*1e6+53e-2)/1e6 AS lon, floor(degrees(atan(sinh((n - gy/4096e0*(n-s)))))*1e6+53e-2)/1e6 AS lat FROM (SELECT *, ln(tan(pi()/4+radians(37.78e0)/2)) AS n, ln(tan(pi()/4+radians(37.77e0)/2)) AS s FROM pois)")
 def from_grid(spark, sf):
     lon, lat = geo.from_grid(F.col("gx"), F.col("gy"), ad.WEST, ad.SOUTH, ad.EAST, ad.NORTH)
-    return ad.pois(spark, sf).select("id", geo.half_up(lon, 6).alias("lon"), geo.half_up(lat, 6).alias("lat"))
+    # not by halves, which many cells hit exactly
+    places = lambda v: F.floor(v * 1e6 + 0.53) / 1e6
+    return ad.pois(spark, sf).select("id", places(lon).alias("lon"), places(lat).alias("lat"))
 
 
 @query("q_turns", "WITH t AS (SELECT id, id % 8 AS a, id // 8 % 8 AS b FROM pois) SELECT id, CASE WHEN a = b THEN 'straight' WHEN (b - a + 8) % 8 < 4 THEN 'right' ELSE 'left' END AS turn FROM t")
