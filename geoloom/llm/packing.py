@@ -151,8 +151,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
     rows = sum(counts.values())
     segments, _ = plan_bins(counts, capacity)
-    if len(segments) > 64 * capacity:
-        raise ValueError("more segments than the number of lengths allows")
     table = np.array(segments, dtype=np.int64).reshape(-1, 5)
     keys = table[:, 0] << 48 | table[:, 1]
     salt = F.xxhash64("doc_id", "piece", "start", "ids_crc32")
@@ -171,7 +169,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added: dict[str, int] | None = None) -> DataFrame:
-    """Tokenise, cut and pack. ``tokenizer``: the rank file of byte_bpe_50k.json's vocabulary; ``added``: the literals that are one token each, those of that file if None. Null text is an empty document, which still has its end id; repeated rows are packed each."""
+    """Tokenise, cut and pack: doc_id, piece, start, length, ids_crc32, sequence_id and offset of each piece.
+
+    ``tokenizer``: the rank file of byte_bpe_50k.json's vocabulary; ``added``: the literals that are one token each, those of
+    that file if None. Null text is an empty document, which still has its end id; repeated rows are packed each; of pieces
+    of one length a hash of the piece tells which comes first, then its id; an empty table gives no piece.
+    """
     if tokenizer is None:
         import public_tokenizers
 

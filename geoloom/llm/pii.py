@@ -204,7 +204,8 @@ def find_pii(docs: DataFrame, selector: Selector, *keep: str) -> DataFrame:
     """``keep`` columns, the base counts and ``found``: all spans as (start, rank, kind, end), by start, then kind.
 
     Null text counts as empty. Base spans always stay, overlaps among them too; a candidate stays if its score reaches
-    its kind's threshold and it overlaps no base span. All of it happens within a row: nothing is shuffled.
+    its kind's threshold and it overlaps no base span. Rows that repeat repeat, an empty table gives no rows. All of it
+    happens within a row: nothing is shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(*keep, text.alias("_text"))

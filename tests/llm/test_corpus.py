@@ -503,6 +503,36 @@ def test_every_piece_gets_its_place():
         assert max(fill.values()) <= size and len(fill) == bins and bins <= 1.25 * -(-sum(n * c for n, c in counts.items()) // size) + 1
 
 
+def fewest_bins(items, size):
+    """By trying every way to fill a bin with the longest item that is left."""
+    if not items:
+        return 0
+    if sum(items) <= size:
+        return 1
+    first, rest = items[0], items[1:]
+    best = len(items)
+    for k in range(len(rest) + 1):
+        for more in itertools.combinations(range(len(rest)), k):
+            if first + sum(rest[i] for i in more) <= size:
+                left = [x for i, x in enumerate(rest) if i not in more]
+                if -(-sum(left) // size) + 1 < best:
+                    best = min(best, 1 + fewest_bins(left, size))
+    return best
+
+
+def test_reduction_loses_no_bin_and_plans_are_near_the_optimum():
+    r = random.Random(11)
+    above = 0
+    for _ in range(200):
+        size = r.choice([10, 13, 20])
+        items = sorted((r.randint(1, size) for _ in range(r.randint(1, 7))), reverse=True)
+        best = fewest_bins(items, size)
+        fixed, left = packing.reduce_dominated(dict(Counter(items)), size)
+        assert sum(m for _, m in fixed) + fewest_bins(sorted(Counter(left).elements(), reverse=True), size) == best
+        above += packing.plan_bins(dict(Counter(items)), size)[1] - best
+    assert above <= 4
+
+
 def test_media_round_trip():
     for n in (0, 1, 63, 64, 922, 923, 5000, 40_000):
         raw = bytes(random.Random(n).randrange(256) for _ in range(n))
@@ -573,8 +603,6 @@ def test_tags_and_tables_of_foreign_streams(spark):
 
 
 def test_media_digests(spark, odd):
-    from geoloom.llm.common import documents  # noqa: F401
-
     docs = odd.select("doc_id", F.col("text").cast("binary").alias("raw"))
     out = media.media_digests(media.index_media(media.encode_media(docs, "raw"), payload="payload")).collect()
     assert len(out) == len(ODD)
