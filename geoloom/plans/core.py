@@ -185,7 +185,13 @@ def degree(spark, sf):
     return graph.degrees(stop_edges(spark, sf))
 
 
-@query("q_components")
+COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey AS a, -l_partkey - 1 AS b FROM lineitem UNION SELECT DISTINCT -l_partkey - 1, l_orderkey FROM lineitem),
+cc(id, component) USING KEY (id) AS (SELECT a, least(a, min(b)) FROM e GROUP BY a
+  UNION SELECT e.a, min(n.component) FROM cc n JOIN e ON e.b = n.id JOIN recurring.cc o ON o.id = e.a WHERE n.component < o.component GROUP BY e.a)
+SELECT id, component FROM cc"""
+
+
+@query("q_components", COMPONENTS, prelude=False)
 def components(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     return graph.components(li.select(F.col("l_orderkey").alias("from_id"), (-F.col("l_partkey") - 1).alias("to_id")).distinct())
