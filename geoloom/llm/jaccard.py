@@ -654,3 +654,23 @@ def deduplicate(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> D
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100)
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) END AS items FROM d),
+k AS (SELECT doc_id, len(items) AS n, CASE WHEN len(items) > 0 THEN min(doc_id) OVER (PARTITION BY items) ELSE doc_id END AS class_id FROM s),
+c AS (SELECT s.doc_id AS class_id, k.n, unnest(s.items) AS item FROM s JOIN k USING (doc_id) WHERE k.class_id = s.doc_id),
+l AS (
+  SELECT a.class_id AS a, b.class_id AS b FROM c a JOIN c b ON a.item = b.item AND a.class_id <> b.class_id AND a.n * 100 >= b.n * 90 AND b.n * 100 >= a.n * 90
+  GROUP BY a.class_id, b.class_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+root AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+links AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT k.doc_id, CAST(k.n AS BIGINT) AS n_shingles, CAST(coalesce(root.component_id, k.class_id) AS BIGINT) AS component_id,
+  CAST(k.class_id AS BIGINT) AS class_id, CAST(coalesce(links.n_links, 0) AS BIGINT) AS n_links
+FROM k LEFT JOIN root ON root.a = k.class_id LEFT JOIN links ON links.a = k.class_id
+"""

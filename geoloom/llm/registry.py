@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geoloom.llm.jaccard import op5_jaccard_join
+from geoloom.llm.jaccard import OP5_SQL, op5_jaccard_join
 from geoloom.llm.langid import op3_language_id
 from geoloom.llm.media import op9_media
 from geoloom.llm.mixing import OP1_SQL, op1_mixing
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_media": op9_media,
     "op10_secrets": op10_secrets,
 }
-SQL = {"op1_mixing": OP1_SQL}
+SQL = {"op1_mixing": OP1_SQL, "op5_jaccard_join": OP5_SQL}

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -266,6 +267,15 @@ def test_jaccard_join(spark, odd, n, num):
     assert sum(r.n_links > 0 for r in out.collect()) > 20
 
 
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_jaccard_join_equals_sql(spark, sf):
+    at = f"/root/testdata/sf{sf}"
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{at}/documents.parquet'")
+    want, out = c.sql(jaccard.OP5_SQL), jaccard.op5_jaccard_join(spark, at)
+    assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(want.fetchall())
+
+
 def test_jaccard_join_of_odd_tables(spark, odd):
     kept = jaccard.deduplicate(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12}
