@@ -9,7 +9,7 @@ from geoloom.operators import document, graph, place_graph, transit
 from geoloom.operators.number import numbered
 from geoloom.plans import adapters as ad
 from geoloom.plans.core import CLOCK, hav, query
-from geoloom.sources import archives, rasters, realtime, tiles
+from geoloom.sources import archives, frames, rasters, realtime, tiles
 
 A, B = (37.775, -122.415), (37.778, -122.412)
 
@@ -289,6 +289,44 @@ def document_faults(spark, sf):
     return document.faults(document.records(lines.withColumn("text", F.when((F.col("doc") % 2 == 1) & (F.col("n") == 5), "L 1 poi").otherwise(F.when((F.col("doc") % 2 == 1) & (F.col("n") == 6), "W 1").otherwise(F.col("text"))))))
 
 
+# binary documents
+
+
+def binary_documents(spark, sf):
+    """A document of each nation: its suppliers as points, their names as strings and properties, the cells that hold them."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_nationkey").alias("doc"), F.col("s_suppkey").alias("id"), "s_name", "s_acctbal")
+    at = F.struct(F.pmod(F.col("id") * 7919, F.lit(4096)).alias("x"), F.pmod(F.col("id") * 6151, F.lit(4096)).alias("y"))
+    none = lambda t: F.lit(None).cast(t)
+    geometry = F.struct(F.lit("point").alias("is"), F.struct("at.x", "at.y", F.when(F.col("id") % 2 == 0, -F.col("id")).alias("z")).alias("point"), *[none(k.ddl).alias(n) for n, k in (("line", frames.many(frames.PATH)), ("polygon", frames.AREA), ("building", frames.AREA))])
+    props = F.array(F.struct(F.lit(1).alias("key"), F.struct(F.lit("num").alias("is"), none("bigint").alias("ref"), F.col("s_acctbal").cast("double").alias("num"), none("boolean").alias("bool"), none("string").alias("token")).alias("value")))
+    rows = s.withColumn("at", at).groupBy("doc").agg(
+        F.collect_list(F.struct("id", F.col("s_name").alias("text"))).alias("strings"),
+        F.collect_list(F.struct("id", props.alias("props"))).alias("attributes"),
+        F.array_sort(F.collect_list(F.struct("id", F.lit(1).alias("layer"), F.lit(0).alias("klass"), F.col("id").alias("attributes"), geometry.alias("geometry")))).alias("features"),
+    )
+    header = F.from_json(F.lit('{"version": 1, "envelope": {"is": "tile", "tile": {"z": 14, "x": 2620, "y": 6332}}, "wgs84": false, "extent": 4096, "buffer": 64}'), frames.HEADER.ddl)
+    kinds = {n: k for n, k in frames.SECTIONS.values()}
+    parts = [F.col(n) if n in rows.columns else F.array().cast(f"array<{k.ddl}>").alias(n) for n, k in kinds.items()]
+    return frames.framed(rows.select("doc", F.struct(header.alias("header"), *parts).alias("d")), F.col("d"), "zstd").select("doc", "frame", "error")
+
+
+@query("q_binary_features", """SELECT s_nationkey AS doc, s_suppkey AS id, s_name AS name, CAST(s_acctbal AS DOUBLE) AS balance, (s_suppkey * 7919) % 4096 AS x, (s_suppkey * 6151) % 4096 AS y,
+  CASE WHEN s_suppkey % 2 = 0 THEN -s_suppkey END AS z FROM supplier""", prelude=False)
+def binary_features(spark, sf):
+    d = frames.unframed(binary_documents(spark, sf), F.col("frame")).select("doc", "document.*")
+    name = d.select("doc", F.explode("strings").alias("s")).select("doc", F.col("s.id").alias("id"), F.col("s.text").alias("name"))
+    value = d.select("doc", F.explode("attributes").alias("a")).select("doc", F.col("a.id").alias("id"), F.col("a.props")[0]["value"]["num"].alias("balance"))
+    f = d.select("doc", F.explode("features").alias("f")).select("doc", F.col("f.id").alias("id"), "f.geometry.point.*")
+    return f.join(name, ["doc", "id"]).join(value, ["doc", "id"]).select("doc", "id", "name", "balance", "x", "y", "z")
+
+
+@query("q_binary_faults", "SELECT s_nationkey AS doc, CASE s_nationkey % 3 WHEN 0 THEN 'not a framed document' WHEN 1 THEN 'frame too short' END AS error, s_nationkey % 3 <> 0 AND s_nationkey % 3 <> 1 AS framed FROM supplier GROUP BY 1", prelude=False)
+def binary_faults(spark, sf):
+    d = binary_documents(spark, sf).drop("error")
+    bad = F.when(F.col("doc") % 3 == 0, F.concat(F.unhex(F.lit("00")), F.substring("frame", 2, 1 << 30))).when(F.col("doc") % 3 == 1, F.substring("frame", 1, 9)).otherwise(F.col("frame"))
+    return frames.unframed(d.withColumn("frame", bad), F.col("frame")).select("doc", "error", frames.is_frame(F.col("frame")).alias("framed"))
+
+
 # binary sources: written from tables, read back
 
 

@@ -15,7 +15,7 @@ from geoloom.functions import geo, ingest, sky, text
 from geoloom.functions.hours import state
 from geoloom.operators import budget, document, indoor, place_graph
 from geoloom.operators.number import numbered
-from geoloom.sources import archives, elements, protobuf, rasters, realtime, tiles
+from geoloom.sources import archives, elements, frames, protobuf, rasters, realtime, tiles
 from geoloom.streaming.sessions import rate_limited, session_changes
 
 
@@ -298,3 +298,45 @@ def test_session_changes(spark, tmp_path):
     spark.createDataFrame([("s", 1, [1, 2], [10, 20]), ("s", 2, [2, 3], [21, 30]), ("t", 1, [], [])], schema).write.parquet(f"{tmp_path}/in")
     run(session_changes(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")), "changes")
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM changes").collect()) == [("s", 1, "+", 1), ("s", 1, "+", 2), ("s", 2, "+", 3), ("s", 2, "-", 1), ("s", 2, "~", 2)]
+
+
+def test_binary_documents(spark):
+    ring = [{"x": 0, "y": 0}, {"x": 70, "y": -3}, {"x": 5, "y": 900}]
+    doc = {
+        "header": {"version": 1, "envelope": {"is": "bbox", "bbox": {"west": -1.5, "south": 2.0, "east": 3.0, "north": 4.25}}, "wgs84": True, "extent": 0, "buffer": -64},
+        "layers": [{"id": 2, "name": "é"}, {"id": 1, "name": ""}, {"id": 2, "name": "later"}],
+        "attributes": [{"id": 1, "props": [{"key": 1, "value": {"is": "bool", "bool": True}}, {"key": 2, "value": {"is": "token", "token": "t"}}, {"key": 3, "value": {"is": "ref", "ref": 300}}]}],
+        "features": [
+            {"id": 1, "layer": 1, "klass": 0, "attributes": 1, "geometry": {"is": "building", "building": [[ring, []], []]}},
+            {"id": 2, "layer": 1, "klass": 0, "attributes": 0, "geometry": {"is": "line", "line": [ring, ring[:1]]}},
+        ],
+        "heat": [{"id": 1, "name": "h", "resolution": 8, "low": 0.0, "high": 1.0, "cells": {"is": "rle", "rle": [{"y": 1, "runs": [{"x": 0, "len": 2, "value": 0.5}]}]}}],
+        "omissions": [{"layer": 1, "count": 3, "centre": {"x": 1, "y": 2}, "note": None}],
+        "refs": [{"kind": "full", "uri": "u", "mime": None, "note": 7}],
+    }
+    back = frames.decode(frames.encode(doc))
+    assert back["header"] == doc["header"] | {"extent": 4096} and back["layers"] == [{"id": 1, "name": ""}, {"id": 2, "name": "later"}]
+    assert all(back[k] == doc.get(k, []) for k in ("classes", "strings", "attributes", "features", "heat", "omissions", "refs"))
+    least = {"header": {"version": 1, "extent": 64}, "layers": [{"id": 1, "name": "a"}]}
+    plain = bytes.fromhex("31524353" "0c000000" "01000000" "00" "000000" "00" "8001" "00" "02" "02" "02" "61")
+    assert frames.encode(least) == plain
+    assert frames.wrap(plain, "raw") == bytes.fromhex("31524353" "a7" "00") + struct.pack("<I", len(plain)) + plain
+    for codec in ("raw", "gzip", "zstd"):
+        assert frames.unwrap(frames.wrap(plain, codec)) == plain
+    r = np.random.default_rng(3)
+    bad, whole = [], frames.wrap(frames.encode(doc), "raw")
+    for i in range(200):
+        b = bytearray(whole)
+        for at in r.integers(10, len(b), 3):
+            b[at] = r.integers(0, 256)
+        bad.append((i, bytes(b[: r.integers(0, len(b))] if i % 2 else b)))
+    rows = [(-1, None), (-2, b""), (-3, whole[:-1]), (-4, whole[:5] + b"\x02" + whole[6:]), (-5, whole)]
+    out = {x.id: x for x in frames.unframed(spark.createDataFrame(rows + bad, "id long, frame binary"), F.col("frame")).collect()}
+    assert out[-1].document is None and out[-1].error is None
+    assert [out[i].error for i in (-2, -3, -4)] == ["frame too short", f"frame cut: {len(whole) - 10} bytes told, {len(whole) - 11} there", "codec brotli is not available"]
+    assert out[-5].document.features[0].geometry.building[0][0][2].y == 900 and out[-5].document.refs[0].note == 7
+    assert all((x.document is None) != (x.error is None) for i, x in out.items() if i != -1)
+    empty = frames.framed(spark.createDataFrame([(None,)], f"d {frames.DOCUMENT}"), F.col("d")).first()
+    assert empty.frame is None and empty.error is None
+    far = frames.framed(spark.range(1).select(F.from_json(F.lit('{"layers": [{"id": 1073741824}]}'), frames.DOCUMENT).alias("d")), F.col("d")).first()
+    assert far.frame is None and "out of range" in far.error
