@@ -8,9 +8,11 @@ import zlib
 from io import BytesIO
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom import arrow
 from geoloom.functions import geo, ingest, sky, text
 from geoloom.functions.hours import state
 from geoloom.operators import budget, document, indoor, place_graph
@@ -340,3 +342,15 @@ def test_binary_documents(spark):
     assert empty.frame is None and empty.error is None
     far = frames.framed(spark.range(1).select(F.from_json(F.lit('{"layers": [{"id": 1073741824}]}'), frames.DOCUMENT).alias("d")), F.col("d")).first()
     assert far.frame is None and "out of range" in far.error
+
+
+def test_batches_are_taken_in_slices(monkeypatch):
+    monkeypatch.setattr(arrow, "SLICE_BYTES", 10)
+    values = ["a" * 4, None, "b" * 7, "c" * 30, "", "d", "e" * 12, "f"]
+    for kind in (pa.string(), pa.binary()):
+        b = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array([v and v.encode() if kind == pa.binary() else v for v in values], kind)], ["i", "v"])
+        parts = list(arrow.slices(b, 1))
+        assert pa.Table.from_batches(parts).to_pylist() == b.to_pylist() and [p.num_rows for p in parts] == [3, 1, 3, 1]
+    whole = pa.RecordBatch.from_arrays([pa.array([[1] * 5] * 4)], ["v"])
+    assert pa.Table.from_batches(list(arrow.slices(whole, 0))).to_pylist() == whole.to_pylist()
+    assert [p.num_rows for p in arrow.slices(whole.slice(0, 0), 0)] == [0]
