@@ -11,7 +11,7 @@ AT = "struct<lon:double,lat:double>"
 
 
 def is_closed(line: Column) -> Column:
-    """Whether a line of four or more points ends where it began."""
+    """Whether a line of four or more points, or of nodes by their ids, ends where it began."""
     return (F.size(line) >= 4) & (F.get(line, F.lit(0)) == F.get(line, F.size(line) - 1))
 
 
@@ -23,22 +23,25 @@ def is_area(tags: Column) -> Column:
 
 
 def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(id, tags, line) of ways (id, tags, refs, inline): their own coordinates, else those of their nodes in order.
+    """(id, tags, line, closed) of ways (id, tags, refs, inline): their own coordinates, else those of their nodes in order.
 
-    ``inline``, where present, is a way's array of (lon, lat). References to nodes that are not there are left out.
+    ``inline``, where present, is a way's array of (lon, lat). References to nodes that are not there are left out. A way of
+    references closes if it ends at the node it began at: another node at the same place does not close it.
     """
     wanted = ways.where("inline IS NULL").select("id", F.posexplode("refs").alias("i", "ref"))
     at = nodes.select(F.col("id").alias("ref"), F.struct("lon", "lat").cast(AT).alias("p"))
-    found = wanted.join(at, "ref").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "p"))).alias("x"))
-    found = found.select("id", F.transform("x", lambda v: v["p"]).alias("resolved"))
-    return ways.join(found, "id", "left").select("id", "tags", F.coalesce(F.col("inline").cast(f"array<{AT}>"), "resolved", F.array().cast(f"array<{AT}>")).alias("line"))
+    found = wanted.join(at, "ref").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "ref", "p"))).alias("x"))
+    found = found.select("id", F.transform("x", lambda v: v["p"]).alias("resolved"), is_closed(F.transform("x", lambda v: v["ref"])).alias("ring"))
+    line = F.coalesce(F.col("inline").cast(f"array<{AT}>"), "resolved", F.array().cast(f"array<{AT}>"))
+    closed = F.when(F.col("inline").isNull(), F.coalesce("ring", F.lit(False))).otherwise(is_closed(F.col("inline")))
+    return ways.join(found, "id", "left").select("id", "tags", line.alias("line"), closed.alias("closed"))
 
 
 def features(nodes: DataFrame, ways: DataFrame) -> DataFrame:
     """(kind, id, tags, line): tagged nodes as points, ways of two or more points as lines, closed ones of areas as areas."""
     points = nodes.where(F.size("tags") > 0).select(F.lit("point").alias("kind"), "id", "tags", F.array(F.struct("lon", "lat").cast(AT)).alias("line"))
     lines = way_lines(ways, nodes).where(F.size("line") >= 2)
-    kind = F.when(is_closed(F.col("line")) & is_area(F.col("tags")), "area").otherwise("line")
+    kind = F.when(F.col("closed") & is_area(F.col("tags")), "area").otherwise("line")
     return points.unionByName(lines.select(kind.alias("kind"), "id", "tags", "line"))
 
 

@@ -232,6 +232,16 @@ def test_zip_archives(spark):
     assert sorted(r.id for r in got if r.error) == [2, 3]
 
 
+def test_a_way_closes_at_the_node_it_began_at(spark):
+    nodes = spark.createDataFrame([(1, {}, 0.0, 0.0), (2, {}, 1.0, 0.0), (3, {}, 1.0, 1.0), (4, {}, 0.0, 0.0)], "id long, tags map<string,string>, lon double, lat double")
+    ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    rows = [(10, [1, 2, 3, 1], None), (11, [1, 2, 3, 4], None), (12, [9, 1, 2, 3, 1, 9], None), (13, [1, 2, 1], None), (14, None, ring), (15, [1, 2, 3, 4], ring), (16, None, ring[:3]), (17, None, None)]
+    ways = spark.createDataFrame([(i, {"building": "yes"}, r, x) for i, r, x in rows], "id long, tags map<string,string>, refs array<bigint>, inline array<struct<lon:double,lat:double>>")
+    got = {r.id: r.closed for r in elements.way_lines(ways, nodes).collect()}
+    assert got == {10: True, 11: False, 12: True, 13: False, 14: True, 15: True, 16: False, 17: False}
+    assert {r.id: r.kind for r in elements.features(nodes, ways).collect()} == {i: "area" if got[i] else "line" for i in range(10, 17)}
+
+
 def test_elements_become_features(spark):
     nodes = spark.createDataFrame([(1, {"amenity": "cafe"}, 0.0, 0.0), (2, {}, 1.0, 0.0), (3, {}, 1.0, 1.0)], "id long, tags map<string,string>, lon double, lat double")
     at = "array<struct<lon:double,lat:double>>"
