@@ -232,6 +232,18 @@ def test_zip_archives(spark):
     assert sorted(r.id for r in got if r.error) == [2, 3]
 
 
+def test_delays_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    from geoloom.plans.places import traffic_delay
+
+    keys = [0, 2, 32, 41, 46, 64, 74, 89, 94]  # 1087.5 s: shares added backwards are an ulp more and make 1087
+    total = 0.0
+    for k in keys:
+        total += k % 10 / 10
+    for name, rows in (("up", keys), ("down", keys[::-1])):
+        spark.createDataFrame([(k, 7) for k in rows], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/{name}/orders.parquet")
+        assert [tuple(r) for r in traffic_delay(spark, f"{tmp_path}/{name}").collect()] == [(7, total / 9, 5, 1088.0)], name
+
+
 def test_a_way_closes_at_the_node_it_began_at(spark):
     nodes = spark.createDataFrame([(1, {}, 0.0, 0.0), (2, {}, 1.0, 0.0), (3, {}, 1.0, 1.0), (4, {}, 0.0, 0.0)], "id long, tags map<string,string>, lon double, lat double")
     ring = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
