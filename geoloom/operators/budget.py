@@ -1,6 +1,7 @@
 """Making a place graph small: its main part, its cut points, chains drawn together, and nodes left out until it fits.
 
-Work on one graph is sequential, so each graph is one group: the frames hold many graphs, told apart by ``graph``.
+Frames hold many graphs, told apart by ``graph``. Work on one graph is sequential, and each graph one group, but for
+contracted(), where a chain is.
 """
 
 from __future__ import annotations
@@ -8,9 +9,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geoloom.operators.graph import connected
+from geoloom.storage import materialize
+
 # What a node, an edge and a graph's frame cost in tokens, and what a junction weighs in a component.
 NODE_TOKENS, EDGE_TOKENS, FRAME_TOKENS, JUNCTION_WEIGHT, LEAST_BUDGET, OVERHEAD = 28, 46, 40, 10, 64, 0.12
 
@@ -89,37 +93,41 @@ class Leg:
         return Leg(-self.dx, -self.dy, self.dist, [(-x, -y) for x, y in reversed(self.steps)], self.kind)
 
 
-def contract(order: list[int], plain: set[int], legs: dict[int, dict[int, Leg]]) -> list[int]:
+#: Stands between the two ends of a chain, of which is not known here whether an edge joins them.
+ENDS = object()
+
+
+def together(to_a: Leg, to_b: Leg) -> Leg:
+    """The way from a to b through a node with these legs."""
+    first = to_a.back()
+    return Leg(first.dx + to_b.dx, first.dy + to_b.dy, first.dist + to_b.dist, first.steps + to_b.steps, first.kind)
+
+
+def contract(order: list, plain: set, legs: dict[object, dict[object, Leg]], last: list | None = None) -> list:
     """Draw chains through ``plain`` nodes together, in their order; the nodes that went.
 
     A node goes if it has exactly two neighbours, one edge to each, both of one kind and not blocked, and its neighbours
-    have no edge yet. Its neighbours keep their numbers of neighbours, so one pass looks at each node once.
+    have no edge yet. Its neighbours keep their numbers of neighbours, so one pass looks at each node once. A node that
+    would go but for ENDS between its neighbours stays, and is added to ``last``.
     """
     gone = []
     for n in order:
         if n not in plain or len(legs.get(n, ())) != 2:
             continue
         (a, to_a), (b, to_b) = legs[n].items()
-        if to_a is None or to_b is None or to_a.kind != to_b.kind or to_a.kind[1] or b in legs[a]:
+        if to_a is None or to_b is None or to_a.kind != to_b.kind or to_a.kind[1]:
+            continue
+        if b in legs[a]:
+            if legs[a][b] is ENDS:
+                last.append(n)
             continue
-        first = to_a.back()
-        whole = Leg(first.dx + to_b.dx, first.dy + to_b.dy, first.dist + to_b.dist, first.steps + to_b.steps, first.kind)
+        whole = together(to_a, to_b)
         del legs[a][n], legs[b][n], legs[n]
         legs[a][b], legs[b][a] = whole, whole.back()
         gone.append(n)
     return gone
 
 
-def _legs(edges: pd.DataFrame, nodes: list[int]) -> dict[int, dict[int, Leg | None]]:
-    """Edges by both ends. Several edges between two nodes, in one direction, stand as None: they are not drawn together."""
-    out: dict[int, dict[int, Leg | None]] = {n: {} for n in nodes}
-    for e in edges.itertuples():
-        if e.from_id != e.to_id and e.from_id in out and e.to_id in out:
-            leg = Leg(e.dx, e.dy, e.dist, [(e.dx, e.dy)], (e.path, bool(e.blocked), bool(e.crosswalk)))
-            out[e.from_id][e.to_id] = None if e.to_id in out[e.from_id] else leg
-    return out
-
-
 def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(graph, id, in_main, is_cut) of each node (graph, id, kind) of graphs with ``edges`` (graph, from_id, to_id)."""
 
@@ -137,33 +145,91 @@ def shape(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 EDGE = "graph long, from_id long, to_id long, dx double, dy double, dist double, path string, blocked boolean, crosswalk boolean, segments array<struct<dx:double,dy:double>>"
 
 
+#: Nodes of chains that one task holds at a time, or one longer chain; up to so many rows are broadcast, more are shuffled.
+CHAIN_NODES, BROADCAST_NODES = 20_000, 200_000
+_DRAWN = EDGE.replace("graph long", "graph long, closes long, closed boolean")
+
+
+def _drawn(e: pd.DataFrame) -> pd.DataFrame:
+    """The edges of whole chains after contract(): (graph, closes, closed) and those of EDGE.
+
+    Where a chain's last node, ``closes``, would join its two ends, its edges come both ways: ``closed`` if it goes, and if
+    it stays. ``closed`` is null elsewhere.
+    """
+    legs: dict[tuple, dict[tuple, Leg | None]] = {}
+    rows, plain = {}, set()
+    for r in e.sort_values(["graph", "chain", "from_id", "to_id"]).itertuples():
+        a, b = (r.graph, r.chain, r.from_id), (r.graph, r.chain, r.to_id)
+        rows[a, b] = leg = Leg(r.dx, r.dy, r.dist, [(r.dx, r.dy)], (r.path, r.blocked, r.crosswalk))
+        legs.setdefault(b, {})
+        legs.setdefault(a, {})[b] = leg if r.several == 1 else None
+        plain |= {x for x, inner in ((a, r.inner_from), (b, r.inner_to)) if inner}
+    ends: dict[tuple, list[tuple]] = {}
+    for x in legs.keys() - plain:
+        ends.setdefault(x[:2], []).append(x)
+    for a, *b in ends.values():
+        if b:
+            legs[a][b[0]] = legs[b[0]][a] = ENDS
+    last: list[tuple] = []
+    contract(sorted(plain), plain, legs, last)
+    closes = {n[:2]: n for n in last}
+    out = []
+
+    def add(a: tuple, b: tuple, leg: Leg, closed: bool | None) -> None:
+        n = closes[a[:2]][2] if closed is not None else None
+        out.append((a[0], n, closed, a[2], b[2], leg.dx, leg.dy, leg.dist, *leg.kind, [{"dx": x, "dy": y} for x, y in leg.steps]))
+
+    for a, ways in legs.items():
+        for b, leg in ways.items():
+            if leg is not ENDS:
+                add(a, b, leg or rows[a, b], False if a[:2] in closes else None)
+    for n in last:
+        (a, to_a), (b, to_b) = legs[n].items()
+        whole = together(to_a, to_b)
+        add(a, b, whole, True)
+        add(b, a, whole.back(), True)
+    d = pd.DataFrame(out, columns=[x.split()[0] for x in _DRAWN.split(", ")])
+    return d.astype({"closes": "Int64", "closed": "boolean"})
+
+
 def contracted(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges after unnamed junctions that only pass a way on are drawn into it; their steps stay as ``segments``.
 
     ``nodes``: (graph, id, kind, name); ``edges``: both directions, (graph, from_id, to_id, dx, dy, dist, path, blocked,
-    crosswalk). Of several edges between two nodes one stays.
-    """
+    crosswalk). Of several edges between two nodes the greatest stays. Rows without a graph or an id are left out.
 
-    def one(n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n = n.sort_values("id")
-        order = n["id"].tolist()
-        plain = {i for i, k, name in zip(order, n["kind"].tolist(), n["name"].tolist()) if k == "intersection" and not name}
-        e = e.sort_values(["from_id", "to_id"])
-        legs = _legs(e, order)
-        several = {(r.from_id, r.to_id): r for r in e.itertuples()}
-        contract(order, plain, legs)
-        rows = []
-        for a, ways in legs.items():
-            for b, leg in ways.items():
-                if leg is None:
-                    r = several[a, b]
-                    leg = Leg(r.dx, r.dy, r.dist, [(r.dx, r.dy)], (r.path, bool(r.blocked), bool(r.crosswalk)))
-                rows.append((int(n["graph"].iloc[0]), a, b, leg.dx, leg.dy, leg.dist, leg.kind[0], leg.kind[1], leg.kind[2], [{"dx": x, "dy": y} for x, y in leg.steps]))
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in EDGE.split(", ")])
-
-    a = nodes.select("graph", "id", "kind", "name").groupBy("graph")
-    b = edges.select(F.col("graph").alias("of_graph"), "from_id", "to_id", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dist")], "path", "blocked", "crosswalk").groupBy("of_graph")
-    return a.cogroup(b).applyInPandas(one, EDGE)
+    No node's number of neighbours changes, so that only unnamed junctions of two neighbours, met one after the other in
+    chains, take part: a chain is work of its own, and all other edges pass. What ties chains together is settled after:
+    of those that would join the same two ends the one whose last node comes first does, unless an edge joins them already.
+    """
+    plain = F.coalesce(F.col("kind") == "intersection", F.lit(False)) & (F.coalesce("name", F.lit("")) == "")
+    known = nodes.where("graph IS NOT NULL AND id IS NOT NULL").groupBy("graph", "id").agg(F.max(plain).alias("plain"))
+    e = edges.where("from_id <> to_id").select("graph", "from_id", "to_id", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "dist")], "path", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("blocked", "crosswalk")])
+    e = e.join(known.select("graph", F.col("id").alias("to_id")), ["graph", "to_id"], "left_semi").join(known.withColumnRenamed("id", "from_id"), ["graph", "from_id"])
+    e = e.groupBy("graph", "from_id", "to_id").agg(F.count("*").alias("several"), F.max("plain").alias("plain"), F.max(F.struct("dx", "dy", "dist", "path", "blocked", "crosswalk")).alias("leg"))
+    inner = F.col("plain") & (F.count("*").over(Window.partitionBy("graph", "from_id")) == 2)
+    legs = materialize(e.select("graph", "from_id", "to_id", "several", "leg.*", inner.alias("inner_from")), "legs")
+
+    small = lambda d, n: F.broadcast(d) if n <= BROADCAST_NODES else d
+    key = lambda c: F.struct("graph", F.col(c).alias("id"))
+    outward = legs.where("inner_from")
+    mids = materialize(outward.select("graph", F.col("from_id").alias("to_id")).distinct().withColumn("inner_to", F.lit(True)), "mids")
+    n = mids.count()
+    roots = connected(outward.join(small(mids, n), ["graph", "to_id"], "left_semi").select(key("from_id").alias("a"), key("to_id").alias("b")))
+    chains = mids.join(roots.select("node.graph", F.col("node.id").alias("to_id"), F.col("root.id").alias("chain")), ["graph", "to_id"], "left").select("graph", F.col("to_id").alias("id"), F.coalesce("chain", "to_id").alias("chain"))
+    chains = materialize(chains, "chains")
+    flagged = legs.join(small(mids, n), ["graph", "to_id"], "left").withColumn("inner_to", F.coalesce("inner_to", F.lit(False)))
+    pieces = flagged.where("inner_from OR inner_to").withColumn("id", F.when(F.col("inner_from"), F.col("from_id")).otherwise(F.col("to_id"))).join(small(chains, n), ["graph", "id"])
+    task = F.pmod(F.xxhash64("graph", "chain"), F.lit(max(1, math.ceil(n / CHAIN_NODES))))
+    drawn = materialize(pieces.drop("id").groupBy(task.alias("task")).applyInPandas(_drawn, _DRAWN), "drawn")
+
+    closing = drawn.where("closed AND from_id < to_id").select("graph", "from_id", "to_id", "closes")
+    direct = legs.where("NOT inner_from").select("graph", "from_id", "to_id").join(small(closing.select("graph", "from_id", "to_id").distinct(), n), ["graph", "from_id", "to_id"], "left_semi")
+    first = closing.join(direct, ["graph", "from_id", "to_id"], "left_anti").groupBy("graph", "from_id", "to_id").agg(F.min("closes").alias("closes")).select("graph", "closes", F.lit(True).alias("won"))
+    settled = drawn.join(first, ["graph", "closes"], "left").where("closed IS NULL OR closed = coalesce(won, false)")
+    columns = [x.split()[0] for x in EDGE.split(", ")]
+    passed = flagged.where("NOT inner_from AND NOT inner_to").withColumn("segments", F.array(F.struct("dx", "dy")))
+    return passed.select(*columns).unionByName(settled.select(*columns))
 
 
 def graph_tokens(n_nodes: Column, n_edges: Column) -> Column:

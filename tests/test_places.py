@@ -76,6 +76,42 @@ def test_chains_are_drawn_together(spark):
     assert kept.where("kept").count() == 6 and budget.fitted(nodes.limit(0).withColumn("worth", F.lit(1)), edges.limit(0), 64).count() == 0
 
 
+def test_chains_are_work_of_their_own(spark):
+    rnd = np.random.default_rng(5)
+    nodes, ways = [], {}
+    for g in range(30):  # hubs 1 to 4, chains of junctions between them, some edges between hubs, and a ring of junctions
+        nodes += [(g, h, "poi", None) for h in range(1, 5)]
+        free, lines = rnd.permutation(np.arange(10, 90)).tolist(), []
+        for _ in range(7):
+            a, b = rnd.integers(1, 5, 2).tolist()
+            chain = [free.pop() for _ in range(int(rnd.integers(1, 5)) + (a == b))]
+            nodes += [(g, n, "intersection", "named" if rnd.random() < 0.1 else rnd.choice(["", None])) for n in chain]
+            lines.append([a, *chain, b])
+        ring = [free.pop() for _ in range(4)]
+        nodes += [(g, n, "intersection", None) for n in ring]
+        lines += [[*ring, ring[0]], *([h, h + 1] for h in (1, 2, 3) if rnd.random() < 0.5)]
+        for line in lines:
+            for a, b in itertools.pairwise(line):
+                leg = budget.Leg(*rnd.integers(-9, 10, 3).astype(float).tolist(), [], ("road" if rnd.random() < 0.9 else "path", bool(rnd.random() < 0.05), False))
+                leg.steps = [(leg.dx, leg.dy)]
+                ways[g, a, b], ways[g, b, a] = leg, leg.back()
+    want = {}
+    for g in range(30):  # the whole graph at once
+        legs = {n: {} for f, n, _, _ in nodes if f == g}
+        for (f, a, b), leg in ways.items():
+            if f == g:
+                legs[a][b] = leg
+        order = sorted(legs)
+        budget.contract(order, {n for f, n, kind, name in nodes if f == g and kind == "intersection" and not name}, legs)
+        want |= {(g, a, b): (x.dx, x.dy, x.dist, x.kind[0], len(x.steps)) for a, near in legs.items() for b, x in near.items()}
+    assert len(want) < len(ways) - 100
+    edges = spark.createDataFrame([(*k, x.dx, x.dy, x.dist, *x.kind) for k, x in ways.items()], "graph long, from_id long, to_id long, dx double, dy double, dist double, path string, blocked boolean, crosswalk boolean")
+    out = budget.contracted(spark.createDataFrame(nodes, "graph long, id long, kind string, name string"), edges)
+    assert "CoGroup" not in out._jdf.queryExecution().toString()  # no task holds a whole graph
+    got = out.collect()
+    assert {(r.graph, r.from_id, r.to_id): (r.dx, r.dy, r.dist, r.path, len(r.segments)) for r in got} == want and len(got) == len(want)
+
+
 def test_compile_of_a_crossing(spark):
     line = lambda *p: [[{"x": x, "y": y} for x, y in p]]
     rows = [
