@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geoloom.llm.common import documents
-from geoloom.operators.graph import connected
+from geoloom.operators.graph import connected, merged
 from geoloom.storage import discard, materialize
 
 #: Bytes of text shingled at once; sets, or items of sets, in a block of a candidate group; children of a node.
@@ -36,6 +36,8 @@ RANGES = 256
 WORDS = 1 << 20
 #: Parts beyond those that linked sets may differ in, so that empty parts seldom need a meeting place.
 SLACK = 2
+#: Up to so many links, of 16 bytes each, are solved for components by one task; more go through rounds first.
+FEW_LINKS = 1 << 18
 #: Names that stand for sets which need no answer.
 NOBODY = (-1, -2)
 _U = np.uint64
@@ -286,21 +288,6 @@ def tree_pairs(one: dict[int, Tree], two: dict[int, Tree], num: int, den: int) -
                 yield from traverse(x, y, num, den)
 
 
-def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Roots after the components of each pair (i, j) become one."""
-    while True:
-        a, b = root[i], root[j]
-        open_ = a != b
-        if not open_.any():
-            return root
-        i, j = i[open_], j[open_]
-        to = np.arange(len(root))
-        np.minimum.at(to, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
-        while (to[to] != to).any():
-            to = to[to]
-        root = to[root]
-
-
 def blockwise(rows: list[tuple]) -> tuple[list[tuple], list[int]]:
     """The rows of a task once each, by set, and where its blocks begin. Rows are (block, set_id, ...), sorted by block."""
     seen, kept, begins, block = set(), [], [], None
@@ -619,12 +606,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     entries = materialize(texts.select("set_id", "raw").mapInArrow(enter(n, num, den), ENTRY), "entries")
 
     met = entries.select("set_id", F.explode("keys").alias("key")).repartition(parts, "key").sortWithinPartitions("key", "set_id").mapInArrow(meet, "a long, b long")
-    group = materialize(connected(met), "groups")
+    group = materialize(connected(met, FEW_LINKS), "groups")
     sized = group.join(entries.select("set_id", "n_shingles").distinct(), F.col("node") == F.col("set_id")).select("set_id", "root", "n_shingles")
     large = sized.groupBy("root").agg(F.count("*").alias("c"), F.sum("n_shingles").alias("items")).where((F.col("c") > BLOCK) | (F.col("items") > BLOCK_ITEMS)).select("root")
     maps = _tasks(sized.join(large, "root", "left_semi"), MAP_BLOCK, num, den).join(entries.select("set_id", "n_shingles", "low", "map"), "set_id")
     maps = maps.repartition(4 * parts, "task").sortWithinPartitions("task", "block")
-    tied = connected(maps.mapInArrow(by_task(("block", "set_id", "n_shingles", "low", "map"), possible(num, den), ["a", "b"]), "a long, b long"))
+    tied = connected(maps.mapInArrow(by_task(("block", "set_id", "n_shingles", "low", "map"), possible(num, den), ["a", "b"]), "a long, b long"), FEW_LINKS)
     again = tied.join(sized.drop("root"), F.col("node") == F.col("set_id")).select("set_id", "root", "n_shingles")
     members = materialize(sized.join(large, "root", "left_anti").unionByName(again), "members")
 
@@ -632,7 +619,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     work = work.repartition(4 * parts, "task").sortWithinPartitions("task", "block")
     found = materialize(work.mapInArrow(by_task(("block", "set_id", "raw"), linked(n, num, den), ["a", "b", "links"]), "a long, b long, links long"), "found")
     discard(entries, meeting, group, members)
-    root = connected(found.select("a", "b")).withColumnRenamed("node", "set_id").join(found.groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links")), "set_id")
+    root = connected(found.select("a", "b"), FEW_LINKS).withColumnRenamed("node", "set_id").join(found.groupBy(F.col("b").alias("set_id")).agg(F.sum("links").alias("links")), "set_id")
     classes = rows.where("n_shingles > 0").groupBy("set_id").agg(F.min("doc_id").alias("class_id"))
     labelled = classes.join(root, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
     least = labelled.groupBy("root").agg(F.min("class_id").alias("component_id"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +60,42 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.count("*").alias("degree"), F.countDistinct("n").alias("neighbours"))
 
 
-def connected(edges: DataFrame) -> DataFrame:
+def merged(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the components of each pair (i, j) become one."""
+    while True:
+        a, b = root[i], root[j]
+        open_ = a != b
+        if not open_.any():
+            return root
+        i, j = i[open_], j[open_]
+        to = np.arange(len(root))
+        np.minimum.at(to, np.maximum(a, b)[open_], np.minimum(a, b)[open_])
+        while (to[to] != to).any():
+            to = to[to]
+        root = to[root]
+
+
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of a whole graph. Batches are all its edges (a, b)."""
+    ends = [np.stack([b.column("a").to_numpy(), b.column("b").to_numpy()]) for b in batches]
+    nodes, places = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *ends], axis=1), return_inverse=True)
+    i, j = places.reshape(2, -1)
+    root = merged(np.arange(len(nodes)), i, j)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
+def connected(edges: DataFrame, few: int = 0) -> DataFrame:
     """(node, root): the least node reachable by ``edges`` (a, b), for each node that an edge joins to another.
 
     Rounds of large-star and small-star: each node hands its larger, then its smaller, neighbours to the least of them.
     Their number grows with the logarithm of the longest path. Every round is a stored table, which goes once the next one
-    is there; a count and a hash of the edges tell the end.
+    is there; a count and a hash of the edges tell the end. As soon as at most ``few`` edges are there or left, which need
+    long ids then, one task solves them, and the driver is spared the plans and tasks of (further) rounds.
     """
     edges = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     state = None
+    if few and edges.count() <= few:
+        return edges.coalesce(1).mapInArrow(_rooted, "node long, root long")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -76,6 +107,8 @@ def connected(edges: DataFrame) -> DataFrame:
         discard(edges)
         edges = nxt
         now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+        if 0 < now[0] <= few:
+            return edges.coalesce(1).mapInArrow(_rooted, "node long, root long")
         if now == state or not now[0]:
             return edges.groupBy("b").agg(F.min("a").alias("root")).select(F.col("b").alias("node"), "root").unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
         state = now

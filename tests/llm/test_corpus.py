@@ -276,6 +276,23 @@ def test_jaccard_join_equals_sql(spark, sf):
     assert out.columns == want.columns and sorted(map(tuple, out.collect())) == sorted(want.fetchall())
 
 
+def test_jaccard_join_spares_the_driver(spark):
+    """A chain of near copies, whose components take many rounds, needs no more than a bounded number of Spark's stages."""
+    r = random.Random(5)
+    words = [f"w{r.random()}" for _ in range(260)]
+    rows = [(int(i), " ".join(words[i : i + 100])) for i in r.sample(range(160), 160)]
+    context = spark.sparkContext
+    context.setJobGroup("spared", "links")
+    try:
+        found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert {x.component_id for x in found} == {0} and len(found) == 160
+    tracker = context.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("spared") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 130
+
+
 def test_jaccard_join_of_odd_tables(spark, odd):
     kept = jaccard.deduplicate(odd)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} == {None, 1, 2, 3, 4, 5, 8, 9, 10, 11, 12}

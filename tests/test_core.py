@@ -79,6 +79,17 @@ def test_diff_of_equal_sides_is_empty(spark):
     assert graph.diff(d, d, ["v"]).count() == 0
 
 
+@pytest.mark.parametrize("few", [40, 1000])
+def test_few_edges_are_solved_at_once(spark, few):
+    """The same roots as by rounds alone, whether few edges are there from the start or left after some rounds."""
+    pairs = [(x * 37 % 101, (x * 53 + x // 7) % 101) for x in range(60)] + [(200 + i, 201 + i) for i in range(90)] + [(-7, 5), (3, 3), (1 << 62, -(1 << 62))]
+    edges = spark.createDataFrame([*pairs, *pairs, (None, 1), (4, None)], "a long, b long")
+    want = {tuple(x) for x in graph.connected(edges).collect()}
+    got = [tuple(x) for x in graph.connected(edges, few).collect()]
+    assert set(got) == want and len(got) == len(want) and {(290, 200), (1 << 62, -(1 << 62))} <= want
+    assert graph.connected(edges.limit(0), few).count() == 0
+
+
 def test_components_of_whole_table(spark):
     root = {}
 
